@@ -145,8 +145,16 @@ def _order(root: Node) -> list[Node]:
 def measure(root: Node) -> list[Node]:
     """Fill in counts, densities and density sums; what furniture names counts as link text."""
     nodes = _order(root)
+    # What holds the article itself is never furniture, whatever its class says of the layout.
+    holds: set[int] = set()
     for node in nodes:
-        node.dropped = bool(node.parent and node.parent.dropped) or _furniture(node)
+        if node.tag in ("body", "main") or (node.tag == "article" and not _furniture(node)):
+            up = node
+            while up is not None and id(up) not in holds:
+                holds.add(id(up))
+                up = up.parent
+    for node in nodes:
+        node.dropped = bool(node.parent and node.parent.dropped) or (id(node) not in holds and _furniture(node))
     for node in reversed(nodes):
         chars = tags = link_chars = link_tags = 0
         for child in node.children:
