@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrytext.llm import decontamination, html_text, quality_rules, simhash, token_counts, toxicity, url_filter
+from quarrytext.llm import decontamination, html_text, packing, passages, quality_rules, simhash, token_counts, toxicity, url_filter
 from quarrytext.llm.base import table
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op2_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.find_passages(table(spark, sf_dir, "documents"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.RULES)
 
@@ -40,6 +48,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_packing": op1_packing,
+    "op2_passages": op2_passages,
     "op3_url_filter": op3_url_filter,
     "op4_html_text": op4_html_text,
     "op5_token_counts": op5_token_counts,
