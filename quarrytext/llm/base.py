@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,3 +41,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def only(df: DataFrame, **columns: str) -> DataFrame:
     """``df`` reduced to the named columns under fixed names, so that no other column can clash."""
     return df.select([F.col(f"`{source}`").alias(name) for name, source in columns.items()])
+
+
+def schema_of(df: DataFrame, columns: list[str], more: str) -> T.StructType:
+    """The fields of ``df`` named by ``columns``, followed by those of the DDL text ``more``."""
+    return T.StructType([T.StructField(c, df.schema[c].dataType) for c in columns] + T.StructType.fromDDL(more).fields)

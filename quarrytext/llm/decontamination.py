@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrytext.llm.base import only, written
+from quarrytext.llm.base import only, schema_of, written
 
 WINDOW = 10
 MAX_BYTES = 64 << 20  # of benchmark text in one automaton; a larger benchmark is scanned in blocks
@@ -142,9 +142,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: st
                     columns.append(pa.array(n_hit, pa.int64()))
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(hits, pa.list_(pair)), pa.array(items, pa.list_(pa.string()))], names)
 
-        key = f"{frame.columns[0]} {frame.schema[0].dataType.simpleString()}"
-        schema = f"{key}, " + (found.replace("hits", "n_hit bigint, spans") if final else found)
-        names = [x.strip().split(" ")[0] for x in schema.replace(",last", ";last").split(",")]
+        schema = schema_of(frame, frame.columns[:1], found.replace("hits", "n_hit bigint, spans") if final else found)
+        names = schema.fieldNames()
         return frame.mapInArrow(run, schema)
 
     if len(blocks) == 1:
@@ -168,8 +167,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: st
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(n_hit, pa.int64()), batch.column("items"), pa.array(spans, pa.list_(pair))], ["doc_id", "n_words", "n_hit", "items", "spans"])
 
     both = kept.join(gathered, "row", "left").select("doc_id", "text", "hits", F.coalesce("items", F.array().cast("array<string>")).alias("items"))
-    kind = source.schema["doc_id"].dataType.simpleString()
-    return both.mapInArrow(finish, f"doc_id {kind}, n_words bigint, n_hit bigint, items array<string>, spans array<struct<first:int,last:int>>")
+    return both.mapInArrow(finish, schema_of(source, ["doc_id"], "n_words bigint, n_hit bigint, items array<string>, spans array<struct<first:int,last:int>>"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -20,7 +20,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quarrytext.llm.base import only
+from quarrytext.llm.base import only, schema_of
 
 # The element kinds of HTML that matter here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -258,5 +258,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             texts = [main_text(page) for page in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    kinds = {f.name: f.dataType.simpleString() for f in source.schema}
-    return source.mapInArrow(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars bigint")
+    return source.mapInArrow(run, schema_of(source, ["page_id", "url"], "text string, n_chars bigint"))

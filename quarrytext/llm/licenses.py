@@ -123,7 +123,7 @@ def train(spark: SparkSession) -> Model:
     matrix = fitted.coefficientMatrix.toArray()
     model = Model(families, [[float(x) for x in r] for r in matrix], [float(x) for x in fitted.interceptVector.toArray()], 0.0)
     # The floor: above what any held-out unknown paragraph gives a family.
-    wrong = _scored(made.filter("held"), model).filter("family <> 'unknown'").agg(F.max("p")).first()[0]
+    wrong = _scored(made.filter("held"), model).agg(F.max(F.when(F.col("family") != "unknown", F.col("p")))).first()[0]
     model.floor = min(0.9, max(0.5, float(wrong or 0.0)))
     return model
 

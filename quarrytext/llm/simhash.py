@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrytext.llm.base import only, written
+from quarrytext.llm.base import only, schema_of, written
 from quarrytext.llm.components import connected_components
 
 TILE = 16384
@@ -51,7 +51,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
     source = only(docs, doc_id=id_col, text=text_col)
-    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, fp bigint")
+    return source.mapInArrow(run, schema_of(source, ["doc_id"], "fp bigint"))
 
 
 def _quarter_counts(fps: np.ndarray) -> np.ndarray:
@@ -171,3 +171,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = rooted.join(least, "root").select("fp", "component_id")
     shown = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
     return fps.join(named, "fp").select("doc_id", shown, "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4, tile: int = TILE) -> DataFrame:
+    """``docs`` with one row of each component of :func:`near_duplicates`, columns unchanged.
+
+    The row of the component's smallest id stays (of rows that share it, one of the smallest hash of all
+    columns); rows with a null id stay all, for they can not be told apart.
+    """
+    found = near_duplicates(docs, id_col, text_col, words, radius, tile)
+    keep = written(found.filter("doc_id = component_id").select("doc_id").distinct(), "kept")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = docs.select(F.col(f"`{id_col}`").alias("__id"), row.alias("__row"))
+    met = keyed.join(keep, keyed["__id"] == keep["doc_id"], "left_semi")
+    twice = found.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    many = written(twice, "twice")
+    if many.limit(1).count():
+        several = met.join(many, met["__id"] == many["doc_id"], "left_semi").groupBy("__id").agg(F.min_by("__row", F.xxhash64("__row")).alias("__row"))
+        met = met.join(many, met["__id"] == many["doc_id"], "left_anti").select("__id", "__row").union(several.select("__id", "__row"))
+    return met.select("__row.*").union(docs.filter(F.col(f"`{id_col}`").isNull()).select("*"))

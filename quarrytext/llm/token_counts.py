@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrytext.llm.base import only
+from quarrytext.llm.base import only, schema_of
 
 STREAM = 1 << 20  # characters handled at once; a longer text is a stream of its own
 WIDTH = 256  # characters in a chunk
@@ -336,5 +336,5 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "d
             n_tokens = pa.array(machine.counts(batch.column(1).to_pylist()))
             yield pa.RecordBatch.from_arrays([batch.column(0), n_bytes, n_tokens], ["doc_id", "n_bytes", "n_tokens"])
 
-    counted = source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, n_bytes bigint, n_tokens bigint")
+    counted = source.mapInArrow(run, schema_of(source, ["doc_id"], "n_bytes bigint, n_tokens bigint"))
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
