@@ -36,7 +36,8 @@ def partial_grams(text: Column) -> Column:
 
 
 def _digit(char: Column) -> Column:
-    return F.length(F.substring_index(F.lit(ALPHABET), char, 1))
+    code = F.ascii(char)
+    return F.when(code < ord("0"), 0).when(code < ord("A"), code - (ord("0") - 1)).otherwise(code - (ord("A") - 11))
 
 
 def gram_code(gram: Column) -> Column:
