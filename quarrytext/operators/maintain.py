@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from quarrytext.functions.grams import parse_gram
 from quarrytext.operators.index import GROUP, POSTING, Index, postings_of
-from quarrytext.sources.chunkers import CHUNK, CHUNKERS
+from quarrytext.sources.chunkers import CHUNK
+from quarrytext.sources.tables import written
 
 
 def _gid(name, version) -> F.Column:
@@ -20,11 +21,13 @@ def put(index: Index, texts: DataFrame, chunker: str = "lines", **options) -> In
     index = index.with_postings()
     live = index.live.select("group_name", F.col("gid").alias("old"), F.col("last_changed").alias("old_changed"))
     met = texts.join(live, "group_name", "left").filter("old IS NULL OR old_changed IS NULL OR last_changed IS NULL OR old_changed <> last_changed")
-    new = met.select(_gid(F.col("group_name"), F.coalesce(F.col("last_changed").cast("string"), F.col("old").cast("string"), F.lit(""))).alias("gid"), "group_name", "last_changed", "text", "old")
+    version = F.coalesce(F.col("last_changed").cast("string"), F.col("old").cast("string"), F.lit(""))
+    # Written, for it is used often below and the plan would double with every call.
+    new = written(met.select(_gid(F.col("group_name"), version).alias("gid"), "group_name", "last_changed", "text", "old"), "new")
     made = Index.build(new.select("gid", "group_name", "last_changed", "text"), chunker, **options)
-    kept = index.groups.join(new.filter("old IS NOT NULL").select(F.col("old").alias("gid")), "gid", "left_semi")
-    rest = index.groups.join(new.filter("old IS NOT NULL").select(F.col("old").alias("gid")), "gid", "left_anti")
-    groups = rest.unionByName(kept.withColumn("deleted", F.lit(True))).unionByName(made.groups)
+    replaced = new.filter("old IS NOT NULL").select(F.col("old").alias("gid"), F.lit(True).alias("__old"))
+    marked = index.groups.join(replaced, "gid", "left").withColumn("deleted", F.col("deleted") | F.coalesce("__old", F.lit(False)))
+    groups = written(marked.select(*index.groups.columns).unionByName(made.groups.select(*index.groups.columns)), "groups")
     return Index(groups, index.chunks.unionByName(made.chunks), index.postings.unionByName(made.postings))
 
 
@@ -84,13 +87,14 @@ def update_plan(groups: DataFrame, states: DataFrame) -> DataFrame:
 
 def update(index: Index, texts: DataFrame) -> Index:
     """Carry out :func:`update_plan` against ``texts(group_name, last_changed, text)``."""
-    plan = update_plan(index.groups, texts.select("group_name", "last_changed"))
+    plan = written(update_plan(index.groups, texts.select("group_name", "last_changed")), "plan")
     gone = plan.filter("action = 'delete'").select("group_name", F.lit(True).alias("__gone"))
-    marked = index.groups.join(gone, "group_name", "left").withColumn("deleted", F.col("deleted") | F.coalesce("__gone", F.lit(False))).drop("__gone")
-    index = Index(marked.select(*index.groups.columns), index.chunks, index.postings)
-    for chunker in CHUNKERS:
-        again = plan.filter((F.col("action") == "input") & (F.col("org") == (chunker == "org"))).select("group_name").distinct()
-        index = put(index, texts.join(again, "group_name", "left_semi"), chunker) if chunker in ("lines", "org") else index
+    marked = index.groups.join(gone, "group_name", "left").withColumn("deleted", F.col("deleted") | F.coalesce("__gone", F.lit(False)))
+    index = Index(written(marked.select(*index.groups.columns), "groups"), index.chunks, index.postings)
+    for chunker, org in (("lines", False), ("org", True)):
+        again = plan.filter((F.col("action") == "input") & (F.col("org") == org)).select("group_name").distinct()
+        if again.limit(1).count():
+            index = put(index, texts.join(again, "group_name", "left_semi"), chunker)
     return index
 
 
