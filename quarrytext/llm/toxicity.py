@@ -16,12 +16,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrytext.llm.base import only
+from quarrytext.llm.base import only, schema_of, written
 
 BITS = 20
-SAMPLE = 8_000  # most labelled documents that train the models, by lowest hash of the id
+SAMPLE = 4_000  # most labelled documents that train the models, by lowest hash of the id
 FOLDS = 5
 LEAST_Z = 4.0
+LEAST_ROWS = 3
 CHAIN = ("quality", "toxic")
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 
@@ -60,19 +61,19 @@ class Linear:
         if n == 0 or rate in (0.0, 1.0):
             bias = -20.0 if rate == 0.0 else 20.0
             return Linear(np.zeros(0, np.int64), np.zeros(0), np.zeros(more.shape[1]), bias)
-        vocabulary, column = np.unique(flat, return_inverse=True)
-        row = np.repeat(np.arange(n), sizes)
-        with_y = np.bincount(column, weights=y[row], minlength=len(vocabulary))
-        without = np.bincount(column, minlength=len(vocabulary)) - with_y
+        row = np.repeat(np.arange(n, dtype=np.int32), sizes)
+        with_y = np.bincount(flat, weights=y[row], minlength=1 << BITS)
+        without = np.bincount(flat, minlength=1 << BITS) - with_y
         # Keep features whose share among both classes differs by LEAST_Z standard errors.
         positives, share = y.sum(), (with_y + without) / n
         gap = with_y / positives - without / (n - positives)
         z = np.abs(gap) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / positives + 1 / (n - positives)))
-        chosen = np.flatnonzero((z >= LEAST_Z) & (with_y + without >= 3))
-        place = np.full(len(vocabulary), -1)
+        chosen = np.flatnonzero((z >= LEAST_Z) & (with_y + without >= LEAST_ROWS))
+        place = np.full(1 << BITS, -1, np.int32)
         place[chosen] = np.arange(len(chosen))
-        used = place[column] >= 0
-        vocabulary, column, row = vocabulary[chosen], place[column][used], row[used]
+        column = place[flat]
+        used = column >= 0
+        vocabulary, column, row = chosen, column[used], row[used]
         with_y, without = with_y[chosen], without[chosen]
         ratio = np.abs(np.log((with_y + 1) / (y.sum() + 2)) - np.log((without + 1) / (n - y.sum() + 2)))
         value = ratio[column]
@@ -111,19 +112,16 @@ class Linear:
         return np.clip(out, -20, 20)
 
 
-def fit_chain(rows: list[tuple[str, list[int], list[int]]], n_labels: int, folds: int = FOLDS) -> list[Linear]:
-    """Train the chain on (id, words, labels); the order of rows does not matter."""
-    rows = sorted(rows, key=lambda r: (r[0], r[1], r[2]))
-    sizes = np.array([len(r[1]) for r in rows], np.int64)
-    flat = np.array([x for r in rows for x in r[1]], np.int64)
-    labels = np.array([r[2] for r in rows], float).reshape(len(rows), n_labels)
-    fold = np.array([zlib.crc32(r[0].encode()) % folds for r in rows], np.int64)
-    owner = np.repeat(np.arange(len(rows)), sizes)
-    more, chain = np.zeros((len(rows), 0)), []
+def fit_chain(ids: list[str], flat: np.ndarray, sizes: np.ndarray, labels: np.ndarray, folds: int = FOLDS) -> list[Linear]:
+    """Train the chain: ``flat`` has all rows' features in turn, ``labels`` a column per category."""
+    n_labels, rows = labels.shape[1], len(ids)
+    fold = np.array([zlib.crc32(x.encode()) % folds for x in ids], np.int64)
+    owner = np.repeat(np.arange(rows, dtype=np.int32), sizes)
+    more, chain = np.zeros((rows, 0)), []
     for k in range(n_labels):
         chain.append(Linear.fit(flat, sizes, more, labels[:, k]))
         if k + 1 < n_labels:
-            unseen = np.zeros(len(rows))
+            unseen = np.zeros(rows)
             for f in range(folds):
                 out, used = fold == f, fold != f
                 if out.any():
@@ -133,8 +131,8 @@ def fit_chain(rows: list[tuple[str, list[int], list[int]]], n_labels: int, folds
     return chain
 
 
-def _training_rows(docs: DataFrame, labels: DataFrame, chain: tuple[str, ...], limit: int) -> list[tuple[str, list[int], list[int]]]:
-    """At most ``limit`` labelled documents as hashed words."""
+def _training_rows(docs: DataFrame, labels: DataFrame, chain: tuple[str, ...], limit: int) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """At most ``limit`` labelled documents: ids, features in turn, their numbers, labels."""
     known = labels.filter(" AND ".join(["doc_id IS NOT NULL", *[f"`{c}` IS NOT NULL" for c in chain]]))
     one = known.groupBy("doc_id").agg(F.max(F.struct(*[(F.col(f"`{c}`") > 0).cast("int").alias(c) for c in chain])).alias("label"))
     some = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
@@ -145,12 +143,37 @@ def _training_rows(docs: DataFrame, labels: DataFrame, chain: tuple[str, ...], l
             words = pa.array([features(t) for t in batch.column(1).to_pylist()], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), words, batch.column(2)], ["id", "words", "label"])
 
-    got = met.mapInArrow(run, "id string, words array<int>, label array<int>").toArrow()
-    rows = [tuple(r.values()) for r in got.to_pylist()]
-    kept: dict[str, tuple] = {}
-    for r in sorted(rows, key=lambda r: (r[0], r[1])):  # an id that occurs twice trains once
-        kept.setdefault(r[0], r)
-    return list(kept.values())
+    rows = written(met.mapInArrow(run, "id string, words array<int>, label array<int>"), "features")
+    # Features that could never be chosen stay behind: rare ones, and those as frequent in both classes
+    # (by a bar well under the one that a model sets on its own training rows).
+    n = rows.agg(F.count("*").alias("n"), *[F.coalesce(F.sum(F.get("label", F.lit(k))), F.lit(0)).alias(f"p{k}") for k in range(len(chain))]).first()
+    seen = rows.select(F.explode("words").alias("word"), "label").groupBy("word").agg(F.count("*").alias("n"), *[F.sum(F.get("label", F.lit(k))).alias(f"p{k}") for k in range(len(chain))])
+    far = F.lit(False)
+    for k in range(len(chain)):
+        p, q = float(n[f"p{k}"]), float(n["n"] - n[f"p{k}"])
+        if p and q:
+            share = F.col("n") / F.lit(p + q)
+            error = F.sqrt(F.greatest(share * (1 - share), F.lit(1e-12)) * F.lit(1 / p + 1 / q))
+            far = far | (F.abs(F.col(f"p{k}") / F.lit(p) - (F.col("n") - F.col(f"p{k}")) / F.lit(q)) >= LEAST_Z / 2 * error)
+    useful = np.sort(seen.filter((F.col("n") >= LEAST_ROWS) & far).select("word").toArrow().column(0).to_numpy())
+    shared = docs.sparkSession.sparkContext.broadcast(useful)
+
+    def reduce(batches):
+        for batch in batches:
+            lists = [np.asarray(x, np.int32) for x in batch.column(1).to_pylist()]
+            kept = pa.array([np.intersect1d(x, shared.value, assume_unique=True) for x in lists], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), kept, batch.column(2)], ["id", "words", "label"])
+
+    got = rows.mapInArrow(reduce, "id string, words array<int>, label array<int>").toArrow()
+    words = got.column("words").combine_chunks()
+    flat, sizes = words.flatten().to_numpy(), words.value_lengths().to_numpy()
+    labels_of = np.array(got.column("label").to_pylist(), float).reshape(len(sizes), len(chain))
+    ids, starts = got.column("id").to_pylist(), np.cumsum(sizes, dtype=np.int64) - sizes
+    order: dict[str, int] = {}
+    for k in sorted(range(len(ids)), key=lambda k: (ids[k], sizes[k])):  # an id that occurs twice trains once
+        order.setdefault(ids[k], k)
+    parts = [flat[starts[k] : starts[k] + sizes[k]] for k in order.values()]
+    return list(order), np.concatenate(parts) if parts else np.zeros(0, np.int32), sizes[list(order.values())].astype(np.int64), labels_of[list(order.values())]
 
 
 def classify(docs: DataFrame, labels: DataFrame, chain: tuple[str, ...] = CHAIN, threshold: float = 0.5, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -165,7 +188,7 @@ def classify(docs: DataFrame, labels: DataFrame, chain: tuple[str, ...] = CHAIN,
     ignored, so none can clash.
     """
     source = only(docs, doc_id=id_col, text=text_col)
-    models = fit_chain(_training_rows(source, labels, tuple(chain), sample), len(chain))
+    models = fit_chain(*_training_rows(source, labels, tuple(chain), sample))
     shared = docs.sparkSession.sparkContext.broadcast([(m.table(), m.earlier.tolist(), m.bias) for m in models])
 
     def run(batches):
@@ -195,5 +218,5 @@ def classify(docs: DataFrame, labels: DataFrame, chain: tuple[str, ...] = CHAIN,
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names)
 
     names = ["doc_id", *[f"{c}_p" for c in chain]]
-    schema = ", ".join([f"doc_id {source.schema['doc_id'].dataType.simpleString()}", *[f"`{c}` double" for c in names[1:]]])
+    schema = schema_of(source, ["doc_id"], ", ".join(f"`{c}` double" for c in names[1:]))
     return source.mapInArrow(run, schema).withColumn("toxic", F.col(f"`{names[-1]}`") >= threshold)
