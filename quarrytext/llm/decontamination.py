@@ -8,7 +8,7 @@ the original text.
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 from collections.abc import Callable
 
 import ahocorasick
@@ -95,16 +95,15 @@ def _blocks(benchmark: DataFrame, max_bytes: int) -> list[Callable[[], list[tupl
     return [lambda k=k: [tuple(r) for r in benchmark.filter(block == k).collect()] for k in range(n)]
 
 
-_SCANNERS: dict[tuple, Scanner] = {}
+_SCANNERS: dict[tuple[str, int], Scanner] = {}
 
 
-def _scanner(shared, window: int) -> Scanner:
-    """The automaton of a broadcast block, built once per Python worker."""
-    key = (shared.id if hasattr(shared, "id") else id(shared), window, len(shared.value))
-    if key not in _SCANNERS:
+def _scanner(name: str, items: list[tuple], window: int) -> Scanner:
+    """The automaton of a block, built once per Python worker; ``name`` is unique to the block."""
+    if (name, window) not in _SCANNERS:
         _SCANNERS.clear()
-        _SCANNERS[key] = Scanner(shared.value, window)
-    return _SCANNERS[key]
+        _SCANNERS[name, window] = Scanner(items, window)
+    return _SCANNERS[name, window]
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_bytes: int = MAX_BYTES) -> DataFrame:
@@ -124,10 +123,10 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: st
     sc = docs.sparkSession.sparkContext
 
     def shared_pass(frame: DataFrame, read, final: bool) -> DataFrame:
-        shared = sc.broadcast(read())
+        shared, name = sc.broadcast(read()), uuid.uuid4().hex
 
         def run(batches):
-            scanner = _scanner(shared, window)
+            scanner = _scanner(name, shared.value, window)
             for batch in batches:
                 n, n_hit, hits, items = [], [], [], []
                 for text in batch.column("text").to_pylist():
