@@ -120,7 +120,10 @@ def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, id_
     placed = confirmed.select(*carried, F.sort_array(F.transform(again, lambda x: x["i"])).alias("at"))
     at = F.col("at")
     covered = F.aggregate(F.transform(at, lambda p, j: F.least(F.lit(3), F.coalesce(F.get(at, j + 1) - p, F.lit(3)))), F.lit(0), lambda a, b: a + b)
-    final = placed.select(*carried, covered.cast("bigint").alias("n_repeat_words"))
+    # The row number keeps the optimiser from copying these nested expressions into filters further down.
+    fixed = placed.select(*carried, covered.cast("bigint").alias("covered"), F.monotonically_increasing_id().alias("__at"))
+    held = F.col("__at") >= 0
+    final = fixed.withColumns({"n_repeat_words": F.when(held, F.col("covered")), "llr_sum": F.when(held, F.col("llr_sum"))})
     n_words = F.col("n").cast("bigint")
     failed = (n_words < 50) | (100 * F.col("n_repeat_words") > 50 * n_words)
     llr = F.when(F.col("n") > 0, F.col("llr_sum") / F.when(F.col("n") > 1, 2 * F.col("n") - 1).otherwise(1))
@@ -136,7 +139,4 @@ def trusted_of(labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, trusted: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that :func:`judge` keeps, with all their columns."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    judged = judge(docs, trusted, keep=row, **options)
-    # The row number keeps the optimiser from copying the whole expression into filters further down.
-    fixed = judged.withColumn("__at", F.monotonically_increasing_id())
-    return fixed.filter(F.col("kept") & (F.col("__at") >= 0)).select("kept_row.*")
+    return judge(docs, trusted, keep=row, **options).filter("kept").select("kept_row.*")
