@@ -20,6 +20,7 @@ from quarrytext.llm.base import only, schema_of, written
 from quarrytext.llm.components import connected_components
 
 TILE = 16384
+BROADCAST_IDS = 500_000  # more documents that go are joined by a shuffle
 _BLOCK = 1 << 21  # pairs compared at once
 
 
@@ -179,14 +180,17 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     The row of the component's smallest id stays (of rows that share it, one of the smallest hash of all
     columns); rows with a null id stay all, for they can not be told apart.
     """
-    found = near_duplicates(docs, id_col, text_col, words, radius, tile)
-    keep = written(found.filter("doc_id = component_id").select("doc_id").distinct(), "kept")
+    found = written(near_duplicates(docs, id_col, text_col, words, radius, tile), "near_duplicates")
+    per = found.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count_if(F.col("doc_id") == F.col("component_id")).alias("own"))
+    # The ids that go are far fewer than the texts: broadcast if they are few, else one shuffle.
+    gone = per.filter("own = 0").select("doc_id")
+    if gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     keyed = docs.select(F.col(f"`{id_col}`").alias("__id"), row.alias("__row"))
-    met = keyed.join(keep, keyed["__id"] == keep["doc_id"], "left_semi")
-    twice = found.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    many = written(twice, "twice")
+    met = keyed.join(gone, keyed["__id"] == gone["doc_id"], "left_anti")
+    many = per.filter("own > 1").select("doc_id")
     if many.limit(1).count():
         several = met.join(many, met["__id"] == many["doc_id"], "left_semi").groupBy("__id").agg(F.min_by("__row", F.xxhash64("__row")).alias("__row"))
         met = met.join(many, met["__id"] == many["doc_id"], "left_anti").select("__id", "__row").union(several.select("__id", "__row"))
-    return met.select("__row.*").union(docs.filter(F.col(f"`{id_col}`").isNull()).select("*"))
+    return met.select("__row.*")
