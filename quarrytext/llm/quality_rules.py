@@ -3,7 +3,7 @@
 Native: DataFrame functions only.  Words and word pairs are hashed into ``BUCKETS`` buckets; one pass
 over all documents counts every bucket for the raw corpus and for the trusted documents.  A
 document's score is the mean, over its n-grams, of the logarithm of trusted over raw probability
-(both with add-``SMOOTH`` smoothing); it is kept if no base rule fails and the score reaches
+(both counts scaled to the trusted total and smoothed by ``SMOOTH``); it is kept if no base rule fails and the score reaches
 ``threshold``.  The table of ratios has exactly ``BUCKETS`` entries at any size of the input.
 """
 
@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS = 1 << 15
-SMOOTH = 1.0
-THRESHOLD = -0.08
+SMOOTH = 20.0
+THRESHOLD = -0.065
 TRUSTED = 20_000  # most trusted documents that fit the target model, by lowest hash of the id
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -55,10 +55,12 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, limit: int = TRUSTED) -> lis
     raw, good = [0] * BUCKETS, [0] * BUCKETS
     for row in counts:
         raw[row["bucket"]], good[row["bucket"]] = row["raw"], row["good"]
-    total_raw, total_good = sum(raw) + SMOOTH * BUCKETS, sum(good) + SMOOTH * BUCKETS
-    if not sum(good):
+    total_raw, total_good = sum(raw), sum(good)
+    if not total_good:
         return [0.0] * BUCKETS
-    return [math.log((g + SMOOTH) / total_good) - math.log((r + SMOOTH) / total_raw) for g, r in zip(good, raw)]
+    # Both multinomials on the scale of the trusted counts, so that buckets with little evidence stay near 0.
+    expected = [r * total_good / total_raw for r in raw]
+    return [math.log((g + SMOOTH) / (e + SMOOTH)) for g, e in zip(good, expected)]
 
 
 _LOW = (1 << 20) - 1

@@ -247,8 +247,9 @@ def test_log_ratios_by_hand(spark):
     pair = spark.sql(f"SELECT pmod(xxhash64(CAST({word('b')} AS BIGINT), CAST({word('c')} AS BIGINT)), {quality_rules.BUCKETS})").first()[0]
     size = quality_rules.BUCKETS
     # Raw: a 2, b 2, c 1 and three pairs; trusted: a 2, b 1 and two pairs.
-    assert abs(ratios[word("a") % size] - (np.log(3 / (5 + size)) - np.log(3 / (8 + size)))) < 1e-12
-    assert abs(ratios[pair] - (np.log(1 / (5 + size)) - np.log(2 / (8 + size)))) < 1e-12
+    smooth = quality_rules.SMOOTH
+    assert abs(ratios[word("a") % size] - np.log((2 + smooth) / (2 * 5 / 8 + smooth))) < 1e-12
+    assert abs(ratios[pair] - np.log((0 + smooth) / (1 * 5 / 8 + smooth))) < 1e-12
 
 
 # 7
