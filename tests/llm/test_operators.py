@@ -221,7 +221,7 @@ def base_columns(text):
 def test_quality(spark, odd, none, vocabulary):
     rng = random.Random(8)
     good = [(k, " ".join(prose(rng, vocabulary[:300], 120))) for k in range(100, 160)]
-    bad = [(k, " ".join(w.upper() + "!!" for w in prose(rng, vocabulary[:300], 120))) for k in range(200, 230)]
+    bad = [(k, " ".join(w.upper() + "!!" for w in prose(rng, vocabulary[:50], 120))) for k in range(200, 230)]
     repeat = [(300, "one two three four five " * 30), (301, "a\nb\na\n\na # $ | é"), (302, " ".join(str(k % 40) for k in range(200)))]
     rows = ODD + good + bad + repeat
     table = odd.unionByName(docs_of(spark, good + bad + repeat), allowMissingColumns=True)

@@ -14,7 +14,8 @@ def test_stages(spark, tmp_path):
     texts = {k: prose(200) for k in range(80)}
     shared, item = prose(70), prose(30)
     texts[80] = list(texts[10])  # a copy
-    texts[81] = [w.upper() + "!!" for w in prose(200)]  # junk
+    for k in range(83, 103):  # junk, in words that are common among it
+        texts[k] = [rng.choice(words[:40]).upper() + "!!" for _ in range(200)]
     texts[20][50:50], texts[21][100:100] = shared, shared
     texts[30][20:20] = item
     texts[82] = prose(10)  # too short
