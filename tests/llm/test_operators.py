@@ -117,6 +117,16 @@ def test_shared_runs_share_seeds(vocabulary):
     assert set(passages.seeds(passages.word_hashes(one))[1].tolist()) & set(passages.seeds(passages.word_hashes(two))[1].tolist())
 
 
+def test_similar_part_of_a_loose_alignment(spark, vocabulary):
+    rng = random.Random(21)
+    equal, loose = prose(rng, vocabulary, 60), prose(rng, vocabulary, 203)
+    other = [w if k % 7 < 4 else f"x{k}" for k, w in enumerate(loose)]
+    texts = [prose(rng, vocabulary, 90) + equal + loose, prose(rng, vocabulary, 70) + equal + other]
+    found = passages.find_passages(docs_of(spark, [(k, " ".join(t)) for k, t in enumerate(texts)])).collect()
+    assert any(r["start_word"] <= 70 and r["end_word"] >= 130 for r in found)
+    assert all(r["end_word"] - r["start_word"] >= 50 and r["identity"] >= 0.8 for r in found)
+
+
 # 3
 
 
