@@ -127,6 +127,23 @@ def test_similar_part_of_a_loose_alignment(spark, vocabulary):
     assert all(r["end_word"] - r["start_word"] >= 50 and r["identity"] >= 0.8 for r in found)
 
 
+def test_short_fuzzy_passages(spark, vocabulary):
+    rng = random.Random(23)
+    texts, planted = [], 0
+    for rate in (0.1, 0.15, 0.18):
+        for _ in range(20):
+            one = prose(rng, vocabulary, 60)
+            two = list(one)
+            for k in rng.sample(range(3, 57), round(60 * rate)):
+                two[k] = f"y{rng.random()}"
+            texts += [prose(rng, vocabulary, 80) + w + prose(rng, vocabulary, 80) for w in (one, two)]
+            planted += 1
+    found = passages.find_passages(docs_of(spark, [(k, " ".join(t)) for k, t in enumerate(texts)])).collect()
+    hit = {(r["ref_doc_id"], r["doc_id"]) for r in found}
+    assert all(r["end_word"] - r["start_word"] >= 50 and r["identity"] >= 0.8 for r in found)
+    assert all(a % 2 == 0 and b == a + 1 for a, b in hit) and len(hit) >= 0.95 * planted, len(hit)
+
+
 # 3
 
 
