@@ -144,6 +144,41 @@ def test_short_fuzzy_passages(spark, vocabulary):
     assert all(a % 2 == 0 and b == a + 1 for a, b in hit) and len(hit) >= 0.95 * planted, len(hit)
 
 
+def test_passages_that_an_earlier_document_holds_in_part(spark, vocabulary):
+    rng = random.Random(29)
+    texts, planted = [], set()
+    own = lambda words, n=80: prose(rng, vocabulary, n) + words + prose(rng, vocabulary, n)
+    for _ in range(12):  # an earlier document holds 49 of 54 words
+        run = prose(rng, vocabulary, 54)
+        texts += [own(run[:49]), own(run), own(run)]
+        planted.add((len(texts) - 2, len(texts) - 1))
+    for _ in range(12):  # two earlier documents hold a half each
+        run = prose(rng, vocabulary, 60)
+        texts += [own(run[:30]), own(run[30:]), own(run), own(run)]
+        planted.add((len(texts) - 2, len(texts) - 1))
+    half = prose(rng, vocabulary, 40)  # a line that all share is no passage
+    texts += [own(half) for _ in range(8)]
+    # The holder has the first half twice, and the run at the second place.
+    run = prose(rng, vocabulary, 56)
+    texts += [own(run[:40] + prose(rng, vocabulary, 30) + run), own(run[:40]), own(run)]
+    planted.add((len(texts) - 3, len(texts) - 1))
+    found = passages.find_passages(docs_of(spark, [(k, " ".join(t)) for k, t in enumerate(texts)])).collect()
+    assert {(r["ref_doc_id"], r["doc_id"]) for r in found} == planted
+
+
+def test_slices_change_no_passage(spark, vocabulary, monkeypatch):
+    rng = random.Random(31)
+    texts = [prose(rng, vocabulary, 500) for _ in range(8)]
+    for k in range(1, 8):
+        n = 40 * k
+        texts[k][200 : 200 + n] = [w if q % 6 else f"z{k}" for q, w in enumerate(texts[0][100 : 100 + n])]
+    docs = docs_of(spark, [(k, " ".join(t)) for k, t in enumerate(texts)])
+    whole = {tuple(r) for r in passages.find_passages(docs).collect()}
+    monkeypatch.setattr(passages, "FEW", 1000)
+    monkeypatch.setattr(passages, "SLICE", 60)
+    assert whole and {tuple(r) for r in passages.find_passages(docs).collect()} == whole
+
+
 # 3
 
 
