@@ -7,8 +7,9 @@ subtree and those of its links (LC, LT); its composite density is
 
 with the logarithm to that base, so that link-heavy nodes fall.  Each node's density sum is that of
 its children's densities; the threshold is the least density on the path from the body down to the
-node of the largest sum, and that node's subtree is the article.  Inside it, blocks whose density
-falls under the threshold by links alone, and nodes whose tag, class or id names furniture, go.
+node of the largest sum.  The article is the highest subtree on that path that adds siblings of at
+least the threshold.  Inside it, siblings of the path that are mostly links and under the threshold,
+and nodes whose tag, class or id names furniture, go.
 """
 
 from __future__ import annotations
@@ -193,17 +194,27 @@ def main_node(root: Node) -> tuple[Node, float]:
     while up is not root:
         threshold = min(threshold, up.density)
         up = up.parent
-    # The article may go on beside the densest child: climb to the highest node on the path that only
-    # adds nodes of at least the threshold.
-    while best is not body and _adds_text(best, threshold):
+    # The article may go on beside the densest child: climb to the highest node on the path that adds
+    # subtrees of at least the threshold, past wrappers that add nothing.
+    top = up = best
+    while up is not body:
+        if _adds_text(up, threshold, up is top):
+            top = up.parent
+        up = up.parent
+    # What climbing adds besides text: link lists under the threshold.
+    while best is not top:
+        for beside in best.parent.children:
+            if isinstance(beside, Node) and beside is not best and beside.density < threshold and beside.link_chars * 2 >= beside.chars > 0:
+                beside.dropped = True
         best = best.parent
-    return best, threshold
+    return top, threshold
 
 
-def _adds_text(node: Node, threshold: float) -> bool:
+def _adds_text(node: Node, threshold: float, next_to: bool) -> bool:
+    """Whether a sibling is text; any block is, if the article found so far is ``next_to`` it."""
     beside = [c for c in node.parent.children if c is not node]
     text = [c for c in beside if isinstance(c, Node) and c.chars and not c.dropped and c.link_chars * 2 < c.chars]
-    return any(c.density >= threshold or c.tag in BLOCK for c in text)
+    return any(c.density >= threshold or (next_to and c.tag in BLOCK) for c in text)
 
 
 def blocks(node: Node) -> list[str]:

@@ -226,6 +226,14 @@ def test_html(spark):
     assert html_text.extract(df.filter("false")).count() == 0
 
 
+def test_html_of_wrapped_sections():
+    part = lambda r: [f"Part {r} paragraph {k} " + "goes on with plain words " * 11 + "here." for k in range(5)]
+    menu = "<div>" + "".join(f"<a href='/{k}'>Entry number {k}</a> " for k in range(4)) + "</div>"
+    rows = "".join("<div class=row><div class=col>" + "".join(f"<p>{p}</p>" for p in part(r)) + "</div></div>" for r in range(3))
+    text = html_text.main_text(f"<html><body>{menu}<div id=page>{rows}</div></body></html>")
+    assert text == "\n\n".join(p for r in range(3) for p in part(r))
+
+
 # 5
 
 
