@@ -9,7 +9,8 @@ with the logarithm to that base, so that link-heavy nodes fall.  Each node's den
 its children's densities; the threshold is the least density on the path from the body down to the
 node of the largest sum.  The article is the highest subtree on that path that adds siblings of at
 least the threshold.  Inside it, siblings of the path that are mostly links and under the threshold,
-and nodes whose tag, class or id names furniture, go.
+and nodes whose tag, class or id names furniture, go; a name that parts of articles bear too counts
+only with a low density or many links, and never for headings.
 """
 
 from __future__ import annotations
@@ -41,6 +42,12 @@ NAMED = re.compile(
     r"share|sharing|social|related|recommended|recommendations|trending|popular|more-stories|outbrain|taboola|"
     r"form|search|searchbox|skip|skip-link|toolbar|tags|tag-list|hidden|sr-only)(?:$|[\s_-]|\d)"
 )
+#: Names that parts of an article bear too: evidence only.
+AMBIGUOUS = re.compile(
+    r"(?i)(?:^|[\s_-])(?:discussion|respond|feedback|related|recommended|recommendations|popular|trending|privacy|consent|search|legal|disclaimer|copyright|"
+    r"notice|notices|alert|header|foot|side|rail|tags|form|skip|promotion|navigation|subscription|social|sharing)(?=$|[\s_-]|\d)"
+)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog alertdialog menu menubar".split())
 #: Tags that an opening tag of the same group closes.
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tbody", "thead", "tr", "td", "th"}, "tfoot": {"tbody", "thead", "tr", "td", "th"}}
@@ -52,13 +59,13 @@ BLANKS = " \t\n\x0c\r"
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children", "parent", "chars", "tags", "link_chars", "link_tags", "density", "total", "dropped")
+    __slots__ = ("tag", "attrs", "children", "parent", "chars", "tags", "link_chars", "link_tags", "density", "total", "dropped", "named")
 
     def __init__(self, tag: str, attrs: str = "", parent: "Node | None" = None):
         self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
-        self.dropped = False
+        self.dropped = self.named = False
 
 
 def parse(page: str) -> Node:
@@ -117,20 +124,24 @@ def parse(page: str) -> Node:
     return root
 
 
-def _furniture(node: Node) -> bool:
+def _furniture(node: Node) -> int:
+    """2 for furniture, 1 if only a name that an article's parts may bear says so, else 0."""
     if node.tag in FURNITURE:
-        return True
+        return 2
     if not node.attrs:
-        return False
+        return 0
+    named = 0
     for found in ATTRIBUTE.finditer(node.attrs):
         key, value = found[1].lower(), found[2] or found[3] or found[4] or ""
         if key in ("class", "id") and NAMED.search(value):
-            return True
+            if node.tag not in HEADINGS and NAMED.search(AMBIGUOUS.sub(" ", value)):
+                return 2
+            named = 1
         if key == "hidden" or (key == "role" and value.lower() in ROLES) or (key == "aria-hidden" and value.lower() == "true"):
-            return True
+            return 2
         if key == "style" and re.search(r"(?i)display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-    return False
+            return 2
+    return named
 
 
 def _order(root: Node) -> list[Node]:
@@ -155,7 +166,9 @@ def measure(root: Node) -> list[Node]:
                 holds.add(id(up))
                 up = up.parent
     for node in nodes:
-        node.dropped = bool(node.parent and node.parent.dropped) or (id(node) not in holds and _furniture(node))
+        kind = 0 if id(node) in holds else _furniture(node)
+        node.named = kind == 1
+        node.dropped = bool(node.parent and node.parent.dropped) or kind > 0
     for node in reversed(nodes):
         chars = tags = link_chars = link_tags = 0
         for child in node.children:
@@ -173,10 +186,7 @@ def measure(root: Node) -> list[Node]:
     share = body.link_chars / body.chars if body.chars else 0.0
     for node in nodes:
         if node.chars:
-            tags, links, link_tags = max(node.tags, 1), max(node.link_chars, 1), max(node.link_tags, 1)
-            plain = max(node.chars - node.link_chars, 1)
-            base = math.log(node.chars / plain * node.link_chars + share * node.chars + math.e)
-            node.density = node.chars / tags * math.log(max(node.chars / links * tags / link_tags, 1.0)) / base
+            node.density = _density(node.chars, node.tags, node.link_chars, node.link_tags, share)
     for node in nodes:
         node.total = sum(c.density for c in node.children if isinstance(c, Node))
     return nodes
@@ -207,9 +217,52 @@ def main_node(root: Node) -> tuple[Node, float]:
             if isinstance(beside, Node) and beside is not best and beside.density < threshold and beside.link_chars * 2 >= beside.chars > 0:
                 beside.dropped = True
         best = best.parent
+    _restore(top, body, threshold)
     return top, threshold
 
 
+def _density(chars: int, tags: int, link_chars: int, link_tags: int, share: float) -> float:
+    if not chars:
+        return 0.0
+    tags, links, link_tags = max(tags, 1), max(link_chars, 1), max(link_tags, 1)
+    base = math.log(chars / max(chars - link_chars, 1) * link_chars + share * chars + math.e)
+    return chars / tags * math.log(max(chars / links * tags / link_tags, 1.0)) / base
+
+
+def _restore(top: Node, body: Node, threshold: float) -> None:
+    """Take back what only an ambiguous name dropped inside the article: headings and dense text."""
+    share = body.link_chars / body.chars if body.chars else 0.0
+    stack = [(top, False)]
+    while stack:
+        node, freed = stack.pop()
+        if freed:  # its parent is back; firm furniture in it stays out
+            node.dropped = _furniture(node) > 0
+        if node.dropped and node.named:
+            chars, tags, link_chars, link_tags = _plain_counts(node)
+            if node.tag in HEADINGS or (link_chars * 2 < chars and _density(chars, tags, link_chars, link_tags, share) >= threshold):
+                node.dropped, freed = False, True
+        if not node.dropped:
+            stack += [(c, freed) for c in node.children if isinstance(c, Node)]
+
+
+def _plain_counts(root: Node) -> tuple[int, int, int, int]:
+    """Characters, tags and those of links of a subtree without what is firmly furniture in it."""
+    chars = tags = link_chars = link_tags = 0
+    stack = [(root, False)]
+    while stack:
+        node, linked = stack.pop()
+        linked = linked or node.tag == "a"
+        for child in node.children:
+            if isinstance(child, Node):
+                if child.tag not in RAW and _furniture(child) < 2:
+                    tags, link_tags = tags + 1, link_tags + (child.tag == "a")
+                    stack.append((child, linked))
+            else:
+                n = len(child.strip(BLANKS))
+                chars, link_chars = chars + n, link_chars + n * linked
+    return chars, tags, link_chars, link_tags
+
+
 def _adds_text(node: Node, threshold: float, next_to: bool) -> bool:
     """Whether a sibling is text; any block is, if the article found so far is ``next_to`` it."""
     beside = [c for c in node.parent.children if c is not node]

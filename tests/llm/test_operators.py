@@ -234,6 +234,14 @@ def test_html_of_wrapped_sections():
     assert text == "\n\n".join(p for r in range(3) for p in part(r))
 
 
+def test_html_keeps_article_parts_of_ambiguous_names():
+    words = "goes on with plain words " * 11 + "here."
+    parts = [f"<section id='discussion'><p>Discussion {words}</p></section>", "<h2 id='related-work'>Related work</h2>", f"<p>More {words}</p>", "<h2 id='privacy'>Privacy</h2>", f"<div id='search-results'><p>Results {words}</p></div>", f"<section class='legal'><p>Legal {words}</p></section>", f"<p id='notice-1'>Notice {words}</p>"]
+    out = ["<div class='related'>" + "".join(f"<a href='/{k}'>Other article {k}</a> " for k in range(6)) + "</div>", "<div class='ad'>Buy this now and save some money today.</div>", f"<div class='comments'><p>Reader {words}</p></div>"]
+    text = html_text.main_text(f"<html><body><div id=page><h1>Title</h1><p>Start {words}</p>{''.join(parts + out)}<p>End {words}</p></div></body></html>")
+    assert text == "\n\n".join(["Title", f"Start {words}", f"Discussion {words}", "Related work", f"More {words}", "Privacy", f"Results {words}", f"Legal {words}", f"Notice {words}", f"End {words}"])
+
+
 # 5
 
 
