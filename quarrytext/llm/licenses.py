@@ -1,6 +1,7 @@
 """Licence scans by a trained paragraph classifier (operator 9).
 
-Native: DataFrame functions and JVM-side model fitting only.  Every line of a text is a paragraph.
+Native: DataFrame functions and JVM-side model fitting only.  Every line of a text is a paragraph;
+adjacent lines are also scored joined, since notices are wrapped.
 Paragraphs that hold none of the key words cannot be confirmed (each template needs three quarters of
 its word pairs, over a quarter of which hold a key word), so they are unknown without scoring.  The
 others are scored by a sparse multinomial logistic regression over hashed words and word pairs with
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SIZE = 2048  # hashed features
+JOINED = 4  # most adjacent lines that are joined, besides whole blocks of lines
 CONFIRM = 0.75  # of a template's word pairs that a paragraph must hold
 
 # Identifying phrases and notices of licence families, normalised.
@@ -147,19 +149,45 @@ def _confirmed(pairs: Column) -> Column:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None) -> DataFrame:
     """One row per input row: ``(doc_id, n_paragraphs, n_licence, families, licensed)``.
 
-    Paragraphs are lines with a visible character; ``n_licence`` are those of a confirmed family,
-    ``families`` their distinct families, sorted and joined by commas (empty if none).  A null or empty
+    Paragraphs are lines with a visible character; ``n_licence`` are those of a confirmed family, and
+    one for each family that only joined lines of a block (lines without a blank one between) confirm;
+    ``families`` are their distinct families, sorted and joined by commas (empty if none).  A null or empty
     text has no paragraphs.  Texts and lines of any length are read whole; repeated rows and null ids
     stay; an empty table gives an empty result; other columns are ignored, so none can clash.
     """
     model = model or train(docs.sparkSession)
-    lines = F.filter(F.split(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), "\n"), lambda p: p.rlike(r"[^\x20\x09-\x0D]"))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("doc_id"), lines.alias("lines"))
-    some = rows.select("row", "doc_id", F.size("lines").cast("bigint").alias("n_paragraphs"), F.filter("lines", lambda p: p.rlike(KEY_PATTERN)).alias("hints"))
-    spread = some.select("row", "doc_id", "n_paragraphs", F.explode_outer("hints").alias("paragraph"))
+    visible = lambda p: p.rlike(r"[^\x20\x09-\x0D]")
+    blocks = F.split(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), r"\n[\x20\x09-\x0D]*\n")
+    lines = F.transform(blocks, lambda b: F.filter(F.split(b, "\n"), visible))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("doc_id"), lines.alias("blocks"))
+    counted = F.aggregate("blocks", F.lit(0).cast("bigint"), lambda n, b: n + F.size(b))
+    numbered = F.filter(F.transform("blocks", lambda b, i: F.struct(i.alias("block"), b.alias("lines"))), lambda b: F.exists(b["lines"], lambda p: p.rlike(KEY_PATTERN)))
+    some = rows.select("row", "doc_id", counted.alias("n_paragraphs"), numbered.alias("blocks"))
+    blocked = some.select("row", "doc_id", "n_paragraphs", F.explode_outer("blocks").alias("b")).select("row", "doc_id", "n_paragraphs", "b.block", "b.lines")
+    # The numbers of lines with a key word, and every run of 2 to JOINED lines around one, or the whole block.
+    size = F.size("lines")
+    keyed = F.filter(F.transform("lines", lambda p, i: F.when(p.rlike(KEY_PATTERN), i)), lambda i: i.isNotNull())
+    marked = blocked.withColumn("keyed", keyed)
+    singles = F.transform("keyed", lambda i: F.struct(F.lit(False).alias("wrapped"), i.alias("at"), F.lit(1).alias("n")))
+    around = lambda back, n: F.transform("keyed", lambda i: F.struct(F.lit(True).alias("wrapped"), (i - back).alias("at"), F.lit(n).alias("n")))
+    wide = [around(back, n) for n in range(2, JOINED + 1) for back in range(n)]
+    whole = F.when(size > JOINED, F.array(F.struct(F.lit(True).alias("wrapped"), F.lit(0).alias("at"), size.alias("n")))).otherwise(F.array().cast("array<struct<wrapped:boolean,at:int,n:int>>"))
+    runs = F.filter(F.array_distinct(F.concat(singles, *wide, whole)), lambda r: (r["at"] >= 0) & (r["at"] + r["n"] <= size))
+    parts = F.transform(runs, lambda r: F.struct(r["wrapped"].alias("wrapped"), F.array_join(F.slice("lines", r["at"] + 1, r["n"]), " ").alias("paragraph")))
+    spread = marked.select("row", "doc_id", "n_paragraphs", "block", F.explode_outer(parts).alias("p")).select("row", "doc_id", "n_paragraphs", "block", "p.wrapped", "p.paragraph")
     scored = _scored(_featured(spread), model)
     sure = F.col("paragraph").isNotNull() & (F.col("family") != "unknown") & (F.col("p") >= model.floor) & _confirmed(F.col("pairs"))
-    found = scored.select("row", "doc_id", "n_paragraphs", F.when(sure, F.col("family")).alias("family"))
-    per = found.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_paragraphs").alias("n_paragraphs"), F.count("family").alias("n_licence"), F.collect_set("family").alias("families"))
+    found = scored.select("row", "doc_id", "n_paragraphs", "wrapped", "block", F.when(sure, F.col("family")).alias("family"))
+    placed = F.when(F.col("family").isNotNull(), F.struct("block", "family"))
+    grouped = found.groupBy("row").agg(
+        F.first("doc_id").alias("doc_id"),
+        F.first("n_paragraphs").alias("n_paragraphs"),
+        F.count(F.when(~F.col("wrapped"), F.col("family"))).alias("lines"),
+        F.collect_set(F.when(~F.col("wrapped"), placed)).alias("plain"),
+        F.collect_set(F.when(F.col("wrapped"), placed)).alias("joined"),
+        F.collect_set("family").alias("families"),
+    )
+    more = F.size(F.array_except("joined", "plain")).cast("bigint")
+    per = grouped.select("doc_id", "n_paragraphs", (F.col("lines") + more).alias("n_licence"), "families")
     joined = F.array_join(F.array_sort("families"), ",")
     return per.select("doc_id", "n_paragraphs", "n_licence", joined.alias("families"), (F.col("n_licence") > 0).alias("licensed"))

@@ -445,6 +445,21 @@ def test_licenses(spark, odd, none, license_model):
     assert licenses.scan(none, model=license_model).count() == 0
 
 
+def test_wrapped_licenses(spark, license_model):
+    isc = "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies."
+    rows = [
+        (1, f"Some prose.\n\n{isc}", "ISC", 1),
+        (2, "licensed under a Creative Commons\nAttribution 4.0 International License", "CC-BY", 1),
+        (3, "under the GNU General\nPublic License", "GPL", 1),
+        (4, "under the GNU General\n \nPublic License", "", 0),
+        (5, "# This file is under the GNU\n# General Public License.\n\nMIT License\nmore", "GPL,MIT", 2),
+        (6, "The general\npublic was invited", "", 0),
+    ]
+    out = {r["doc_id"]: r for r in licenses.scan(docs_of(spark, [r[:2] for r in rows]), model=license_model).collect()}
+    assert [(k, out[k]["families"], out[k]["n_licence"]) for k, *_ in rows] == [(k, f, n) for k, _, f, n in rows]
+    assert out[1]["n_paragraphs"] == 4
+
+
 def test_held_out_license_paragraphs(spark, license_model):
     frames = ["available under the {}", "the code comes with the {} attached", "distributed under {}"]
     rows = [(k, f.format(p), n) for k, (n, p, f) in enumerate((n, p, f) for n, ps in licenses.TEMPLATES.items() for p in ps for f in frames)]
