@@ -174,11 +174,67 @@ def test_slices_change_no_passage(spark, vocabulary, monkeypatch):
         texts[k][200 : 200 + n] = [w if q % 6 else f"z{k}" for q, w in enumerate(texts[0][100 : 100 + n])]
     docs = docs_of(spark, [(k, " ".join(t)) for k, t in enumerate(texts)])
     whole = {tuple(r) for r in passages.find_passages(docs).collect()}
-    monkeypatch.setattr(passages, "FEW", 1000)
     monkeypatch.setattr(passages, "SLICE", 60)
     assert whole and {tuple(r) for r in passages.find_passages(docs).collect()} == whole
 
 
+def covers(found, doc, words, run):
+    """Whether the passages of ``doc`` cover most words of the run that it holds."""
+    at = next(k for k in range(len(words)) if words[k : k + len(run)] == run)
+    hit = {w for r in found if r["doc_id"] == doc for w in range(r["start_word"], r["end_word"])}
+    return len(hit & set(range(at, at + len(run)))) >= 0.8 * len(run)
+
+
+@pytest.mark.parametrize("size,step", [(14, 9), (20, 12), (30, 17)])
+def test_passage_that_earlier_documents_quote_in_pieces(spark, vocabulary, size, step):
+    rng = random.Random(size)
+    run = prose(rng, vocabulary, 120)
+    fuzzy = [w if k % 9 else f"q{k}" for k, w in enumerate(run)]
+    own = lambda words: prose(rng, vocabulary, 60) + words + prose(rng, vocabulary, 60)
+    texts = {k: own(run[at : at + size]) for k, at in enumerate([*range(0, 120, step), *range(5, 100, step)])}
+    texts |= {1000: own(run), 1001: own(run), 1002: own(fuzzy)}
+    docs = docs_of(spark, [(k, " ".join(t)) for k, t in texts.items()])
+    rows = [sorted(map(tuple, passages.find_passages(docs.repartition(n)).collect())) for n in (1, 7)]
+    assert rows[0] == rows[1]
+    found = passages.find_passages(docs.repartition(40)).collect()
+    assert sorted(map(tuple, found)) == rows[0]
+    assert covers(found, 1001, texts[1001], run) and covers(found, 1002, texts[1002], fuzzy) and {r["doc_id"] for r in found} == {1001, 1002}
+
+
+def test_equal_runs_against_brute_force(spark, vocabulary):
+    rng = random.Random(41)
+    lines = [prose(rng, vocabulary, rng.choice([8, 15, 30, 45, 55, 70])) for _ in range(14)]
+    texts = [[w for _ in range(rng.randint(3, 7)) for w in (rng.choice(lines) if rng.random() < 0.6 else prose(rng, vocabulary, rng.randint(5, 60)))] for _ in range(60)]
+    seen, wanted = {}, []
+    for doc, words in enumerate(texts):
+        own = {tuple(words[at : at + 50]) for at in range(len(words) - 49)}
+        wanted += [(doc, at) for at in range(len(words) - 49) if tuple(words[at : at + 50]) in seen]
+        for window in own:
+            seen.setdefault(window, doc)
+    found = passages.find_passages(docs_of(spark, [(k, " ".join(t)) for k, t in enumerate(texts)])).collect()
+    hit = collections.defaultdict(set)
+    for r in found:
+        hit[r["doc_id"]] |= set(range(r["start_word"], r["end_word"]))
+        a, b = texts[r["doc_id"]][r["start_word"] : r["end_word"]], texts[r["ref_doc_id"]][r["ref_start_word"] : r["ref_end_word"]]
+        assert r["ref_doc_id"] < r["doc_id"] and min(len(a), len(b)) >= 50 and r["identity"] >= 0.8
+    missed = {(doc, w) for doc, at in wanted for w in range(at, at + 50) if w not in hit[doc]}
+    assert len(wanted) > 500 and not any(len({w for d, w in missed if d == doc}) >= 50 for doc, _ in wanted)
+    # Nothing is reported of documents that share less than 50 words with all others, by far.
+    assert set(hit) <= {doc for doc, _ in wanted} | {r["doc_id"] for r in found if r["identity"] < 1}
+
+
+def test_passages_of_rows_that_share_an_id(spark, vocabulary):
+    rng = random.Random(43)
+    shared, one, two = (prose(rng, vocabulary, n) for n in (70, 200, 200))
+    rows = [(1, " ".join(prose(rng, vocabulary, 90) + shared)), (2, " ".join(one + shared)), (2, " ".join(two)), (2, " ".join(two)), (3, None)]
+    docs = docs_of(spark, rows)
+    assert {(r["doc_id"], r["ref_doc_id"]) for r in passages.find_passages(docs).collect()} == {(2, 1)}
+    cut = collections.Counter((r["doc_id"], r["text"]) for r in passages.remove_passages(docs).collect())
+    assert cut == collections.Counter([rows[0], (2, " ".join(one) + " "), rows[2], rows[3], rows[4]]) or cut == collections.Counter([rows[0], (2, " ".join(one)), rows[2], rows[3], rows[4]])
+    named = docs.withColumn("doc_id", F.when(F.col("doc_id") == 3, "name").otherwise(F.col("doc_id").cast("string")))
+    assert passages.remove_passages(named).count() == len(rows)
+
+
 # 3
 
 
