@@ -1,10 +1,15 @@
 """Quality rules by hashed n-gram log-likelihood ratios (operator 6).
 
-Native: DataFrame functions only.  Words and word pairs are hashed into ``BUCKETS`` buckets; one pass
-over all documents counts every bucket for the raw corpus and for the trusted documents.  A
-document's score is the mean, over its n-grams, of the logarithm of trusted over raw probability
-(both counts scaled to the trusted total and smoothed by ``SMOOTH``); it is kept if no base rule fails and the score reaches
-``threshold``.  The table of ratios has exactly ``BUCKETS`` entries at any size of the input.
+Native: DataFrame functions only.  The n-grams of a text are its words, its word pairs and the last
+``TAIL`` characters of each word, hashed into ``BUCKETS`` buckets.  One pass over all documents counts
+every bucket for the raw corpus and for the trusted documents.  A document's score is the mean, over
+its n-grams, of the logarithm of trusted over raw probability; it is kept if no base rule fails and the
+score reaches ``threshold``.  The table of ratios has exactly ``BUCKETS`` entries at any size of the input.
+
+Both probabilities are raised by ``SHARE / BUCKETS``, which does not depend on the size of the corpus,
+and by ``COUNT`` occurrences in the raw corpus, which only matter in a small one: there an n-gram seen once
+lowers a score by log(4 / 3) at most.  So a text of n-grams that are all unique scores over -0.29; one
+whose n-grams are common in the corpus and missing in trusted documents scores far below ``THRESHOLD``.
 """
 
 from __future__ import annotations
@@ -15,8 +20,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS = 1 << 15
-SMOOTH = 20.0
-THRESHOLD = -0.065
+SHARE = 0.5
+COUNT = 3.0
+TAIL = 3
+THRESHOLD = -0.6
 TRUSTED = 20_000  # most trusted documents that fit the target model, by lowest hash of the id
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -36,10 +43,14 @@ def _bucket(value: Column) -> Column:
     return F.pmod(value, F.lit(BUCKETS)).cast("int")
 
 
-def _grams(hashes: Column, n: Column) -> Column:
-    """Buckets of all words and word pairs (``n``: the number of words)."""
+def _tails(words: Column) -> Column:
+    """Buckets of the last characters of every word."""
+    return F.transform(words, lambda w: _bucket(F.xxhash64(F.substring(w, -TAIL, TAIL), F.lit(TAIL))))
+
+
+def _pair_buckets(hashes: Column, n: Column) -> Column:
     firsts = F.slice(hashes, 1, F.greatest(n - 1, F.lit(0)))
-    return F.concat(F.transform(hashes, _bucket), F.transform(firsts, lambda h, i: _bucket(F.xxhash64(h, F.get(hashes, i + 1)))))
+    return F.transform(firsts, lambda h, i: _bucket(F.xxhash64(h, F.get(hashes, i + 1))))
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, limit: int = TRUSTED) -> list[float]:
@@ -49,8 +60,9 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, limit: int = TRUSTED) -> lis
     """
     some = trusted.filter("doc_id IS NOT NULL").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     marked = docs.join(F.broadcast(some.withColumn("good", F.lit(1))), "doc_id", "left")
-    worded = marked.select("good", _hashes(words_of(F.col("text"))).alias("w"))
-    buckets = worded.select("good", F.explode(_grams(F.col("w"), F.size("w"))).alias("bucket"))
+    worded = marked.select("good", words_of(F.col("text")).alias("w"))
+    hashed = worded.select("good", _hashes(F.col("w")).alias("h"), _tails(F.col("w")).alias("t"))
+    buckets = hashed.select("good", F.explode(F.concat(F.transform("h", _bucket), _pair_buckets(F.col("h"), F.size("h")), F.col("t"))).alias("bucket"))
     counts = buckets.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("good").alias("good")).collect()
     raw, good = [0] * BUCKETS, [0] * BUCKETS
     for row in counts:
@@ -58,9 +70,8 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, limit: int = TRUSTED) -> lis
     total_raw, total_good = sum(raw), sum(good)
     if not total_good:
         return [0.0] * BUCKETS
-    # Both multinomials on the scale of the trusted counts, so that buckets with little evidence stay near 0.
-    expected = [r * total_good / total_raw for r in raw]
-    return [math.log((g + SMOOTH) / (e + SMOOTH)) for g, e in zip(good, expected)]
+    more = SHARE / BUCKETS + COUNT / total_raw
+    return [math.log((g / total_good + more) / (r / total_raw + more)) for g, r in zip(good, raw)]
 
 
 _LOW = (1 << 20) - 1
@@ -107,9 +118,10 @@ def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, id_
     w, n, s, h = (F.col(c) for c in ("w", "n", "s", "h"))
     dup_lines = (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint")
     carried += ["word_chars", "n_symbols", "n_dup_lines", "n"]
-    hashed = worded.withColumns({"n": F.size("w"), "n_dup_lines": dup_lines}).select(*carried, _hashes(w).alias("w"))
+    hashed = worded.withColumns({"n": F.size("w"), "n_dup_lines": dup_lines}).select(*carried, _hashes(w).alias("w"), _tails(w).alias("t"))
     windows = F.transform(F.slice(w, 1, F.greatest(n - 2, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))
-    llr_sum = F.aggregate(_grams(w, n), F.lit(0.0), lambda total, b: total + F.get(table, b))
+    summed = lambda buckets: F.aggregate(buckets, F.lit(0.0), lambda total, b: total + F.get(table, b))
+    llr_sum = summed(F.transform(w, _bucket)) + summed(_pair_buckets(w, n)) + summed(F.col("t"))
     carried += ["llr_sum"]
     scored = hashed.select(*carried[:-1], llr_sum.alias("llr_sum"), windows.alias("h"))
     packed = scored.select(*carried, "h", _maybe_again(h).alias("s"))
@@ -128,7 +140,7 @@ def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, id_
     final = fixed.withColumns({"n_repeat_words": F.when(held, F.col("covered")), "llr_sum": F.when(held, F.col("llr_sum"))})
     n_words = F.col("n").cast("bigint")
     failed = (n_words < 50) | (100 * F.col("n_repeat_words") > 50 * n_words)
-    llr = F.when(F.col("n") > 0, F.col("llr_sum") / F.when(F.col("n") > 1, 2 * F.col("n") - 1).otherwise(1))
+    llr = F.when(F.col("n") > 0, F.col("llr_sum") / (3 * F.col("n") - 1))
     out = final.select(*first, n_words.alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), llr.alias("llr"))
     return out.withColumn("kept", ~F.col("base_failed") & (F.coalesce("llr", F.lit(0.0)) >= threshold))
 

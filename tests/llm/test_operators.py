@@ -355,7 +355,7 @@ def base_columns(text):
 def test_quality(spark, odd, none, vocabulary):
     rng = random.Random(8)
     good = [(k, " ".join(prose(rng, vocabulary[:300], 120))) for k in range(100, 160)]
-    bad = [(k, " ".join(w.upper() + "!!" for w in prose(rng, vocabulary[:50], 120))) for k in range(200, 230)]
+    bad = [(k, " ".join(w.upper() + "!!" for w in prose(rng, vocabulary[:300], 120))) for k in range(200, 230)]
     repeat = [(300, "one two three four five " * 30), (301, "a\nb\na\n\na # $ | é"), (302, " ".join(str(k % 40) for k in range(200)))]
     rows = ODD + good + bad + repeat
     table = odd.unionByName(docs_of(spark, good + bad + repeat), allowMissingColumns=True)
@@ -380,10 +380,35 @@ def test_log_ratios_by_hand(spark):
     word = lambda t: signed(xxhash.xxh64_intdigest(t.encode(), 42))
     pair = spark.sql(f"SELECT pmod(xxhash64(CAST({word('b')} AS BIGINT), CAST({word('c')} AS BIGINT)), {quality_rules.BUCKETS})").first()[0]
     size = quality_rules.BUCKETS
-    # Raw: a 2, b 2, c 1 and three pairs; trusted: a 2, b 1 and two pairs.
-    smooth = quality_rules.SMOOTH
-    assert abs(ratios[word("a") % size] - np.log((2 + smooth) / (2 * 5 / 8 + smooth))) < 1e-12
-    assert abs(ratios[pair] - np.log((0 + smooth) / (1 * 5 / 8 + smooth))) < 1e-12
+    tail = lambda t: spark.sql(f"SELECT pmod(xxhash64('{t}', {quality_rules.TAIL}), {quality_rules.BUCKETS})").first()[0]
+    # Raw: words a 2, b 2, c 1, as many ends of words, and three pairs; trusted: a 2, b 1, as many ends, and two pairs.
+    more = quality_rules.SHARE / size + quality_rules.COUNT / 13
+    for bucket, raw, good in ((word("a") % size, 2, 2), (word("c") % size, 1, 0), (pair, 1, 0), (tail("b"), 2, 1)):
+        assert abs(ratios[bucket] - np.log((good / 8 + more) / (raw / 13 + more))) < 1e-12
+
+
+def test_quality_verdicts_by_hand(spark, vocabulary):
+    rng = random.Random(12)
+    texts = {k: prose(rng, vocabulary[:900], 150) for k in range(60)}
+    texts |= {k: [w + rng.choice(["***", "%%%", "###"]) for w in prose(rng, vocabulary[:900], 150)] for k in range(100, 104)}
+    texts |= {k: [x for w in prose(rng, vocabulary[:900], 75) for x in (w, "|")] for k in range(104, 108)}
+    texts[200] = [f"{rng.random()}" for _ in range(120)]  # nothing in it is common: no evidence against it
+    docs = docs_of(spark, [(k, " ".join(w)) for k, w in texts.items()])
+    trusted = docs.filter("doc_id < 30").select("doc_id")
+    ratios = quality_rules.log_ratios(docs, trusted)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    size, hashed = quality_rules.BUCKETS, {}
+    grams = {k: [*w, *[(a, b) for a, b in zip(w, w[1:])], *[[x[-3:]] for x in w]] for k, w in texts.items()}
+    flat = sorted({(a, b) for w in texts.values() for a, b in zip(w, w[1:])})
+    h = lambda t: signed(xxhash.xxh64_intdigest(t.encode(), 42))
+    pairs = spark.createDataFrame([(a, b, h(a), h(b)) for a, b in flat], "a string, b string, x bigint, y bigint")
+    hashed |= {(r["a"], r["b"]): r["n"] for r in pairs.selectExpr("a", "b", f"pmod(xxhash64(x, y), {size}) n").collect()}
+    tails = spark.createDataFrame(sorted({(x[-3:],) for w in texts.values() for x in w}), "t string")
+    hashed |= {r["t"]: r["n"] for r in tails.selectExpr("t", f"pmod(xxhash64(t, {quality_rules.TAIL}), {size}) n").collect()}
+    for r in quality_rules.judge(docs, trusted).collect():
+        score = np.mean([ratios[hashed[g] if isinstance(g, tuple) else hashed[g[0]] if isinstance(g, list) else h(g) % size] for g in grams[r["doc_id"]]])
+        assert abs(r["llr"] - score) < 1e-9
+        assert r["kept"] == (not r["base_failed"] and score >= quality_rules.THRESHOLD) == (not 100 <= r["doc_id"] < 108)
 
 
 # 7
