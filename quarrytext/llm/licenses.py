@@ -1,12 +1,17 @@
 """Licence scans by a trained paragraph classifier (operator 9).
 
-Native: DataFrame functions and JVM-side model fitting only.  Every line of a text is a paragraph;
-adjacent lines are also scored joined, since notices are wrapped.
-Paragraphs that hold none of the key words cannot be confirmed (each template needs three quarters of
-its word pairs, over a quarter of which hold a key word), so they are unknown without scoring.  The
-others are scored by a sparse multinomial logistic regression over hashed words and word pairs with
-an unknown class; a family's probability must reach the floor calibrated on held-out unknown
-paragraphs, and a template of that family must confirm it.
+Native: DataFrame functions and JVM-side model fitting only.  A paragraph is a line or a run of up to
+``JOINED`` adjacent lines without a blank one between, since notices are wrapped.  A sparse multinomial
+logistic regression over hashed words and word pairs, with an unknown class, scores every one of them:
+
+* First a bound: over the features of each line, the sum of the largest gain that any family has over
+  the unknown class (never less than 0).  Where the bounds of a run's lines stay under the least bias, no
+  family can be more probable than unknown, so the run is unknown and its scores are not worked out.
+  The bound only follows from the weights: no list of key words decides.
+* All other runs get the exact probabilities of all classes.  A family's must reach the floor calibrated
+  on held-out unknown paragraphs.
+* A predicted family is confirmed by comparing the run with the family's templates: ``CONFIRM`` of the
+  word pairs of one must be there.  Predictions without confirmation are given apart.
 """
 
 from __future__ import annotations
@@ -14,13 +19,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SIZE = 2048  # hashed features
-JOINED = 4  # most adjacent lines that are joined, besides whole blocks of lines
+SIZE = 1 << 16  # hashed features
+JOINED = 6  # most adjacent lines that are joined
 CONFIRM = 0.75  # of a template's word pairs that a paragraph must hold
 
 # Identifying phrases and notices of licence families, normalised.
 TEMPLATES: dict[str, list[str]] = {
-    "AGPL": ["gnu affero general public license", "agpl 3.0", "licensed under the agpl"],
+    "AGPL": ["gnu affero general public license version 3", "gnu affero general public license", "agpl 3.0", "licensed under the agpl"],
     "Apache": ["apache license version 2.0", "apache software license", "licensed under the apache license", "apache 2.0 license", "license apache-2.0", "under the apache-2.0 license"],
     "BSD": ["bsd license", "bsd 3-clause license", "bsd 2-clause license", "license bsd-3-clause", "redistribution and use in source and binary forms with or without modification are permitted"],
     "CC-BY": ["creative commons attribution 4.0 international license", "cc by 4.0", "cc by 3.0", "cc-by 4.0", "license cc-by-4.0", "creative commons attribution license"],
@@ -34,9 +39,21 @@ TEMPLATES: dict[str, list[str]] = {
     "Proprietary": ["all rights reserved", "no part of this publication may be reproduced without the prior written permission of the publisher"],
     "Public-Domain": ["released into the public domain", "dedicated to the public domain", "cc0 1.0 universal", "license cc0-1.0", "the unlicense"],
 }
-#: Words one of which is in over a quarter of each template's word pairs.
-KEYS = ["licen[sc]e", "licen[sc]ed", "agpl", "apache", "bsd", "creative", "cc", "cc-by", "cc0", "gnu", "gpl", "lgpl", "isc", "mit", "mozilla", "mpl", "rights", "permission", "hereby", "granted", "redistribution", "permitted", "binary", "publication", "reproduced", "publisher", "public", "domain", "unlicense", "modify", "distribute", "software", "purpose"]
-KEY_PATTERN = "(?i)(?<![a-z0-9])(?:" + "|".join(KEYS) + ")(?![a-z0-9])"
+
+# Opening sentences of the notices and texts of these families.
+NOTICES: dict[str, list[str]] = {
+    "AGPL": ["this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation"],
+    "Apache": ["you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2.0", "licensed to the apache software foundation asf under one or more contributor license agreements"],
+    "BSD": ["neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"],
+    "CC-BY": ["this work is licensed under a creative commons attribution 4.0 international license"],
+    "CC-BY-NC": ["this work is licensed under a creative commons attribution noncommercial 4.0 international license"],
+    "CC-BY-SA": ["this work is licensed under a creative commons attribution sharealike 4.0 international license"],
+    "GPL": ["this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"],
+    "LGPL": ["this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation"],
+    "MIT": ["to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"],
+    "MPL": ["this source code form is subject to the terms of the mozilla public license v 2.0"],
+    "Public-Domain": ["this is free and unencumbered software released into the public domain", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"],
+}
 # What surrounds a phrase in the training paragraphs.
 FRAMES = ["{}", "licensed under the {}", "licensed under {}", "released under the {}", "released under the terms of the {}", "this work is licensed under the {}", "this work is licensed under a {}", "this file is distributed under the {}", "see the {} for details", "copyright 2020 the authors {}", "this program is free software under the {} version 3", "you may use this file under the {}", "spdx {}", "{} version 2.0", "{} 4.0"]
 # Paragraphs that hold key words without being a licence.
@@ -56,30 +73,44 @@ UNKNOWN = [
 
 
 def words_of(paragraph: Column) -> Column:
-    """Lower-case runs of letters and digits, joined over a dot or a hyphen."""
-    return F.regexp_extract_all(F.lower(paragraph), F.lit(r"[a-z0-9]+(?:[.-][a-z0-9]+)*"), F.lit(0))
+    """Lower-case runs of ASCII letters and digits.  Digits become 0: the numbers of versions and years
+    tell no family apart, only their shape does."""
+    flat = F.translate(F.lower(paragraph), "123456789", "000000000")
+    return F.array_remove(F.split(flat, "[^a-z0]+"), "")
+
+
+def _pairs(words: Column) -> Column:
+    firsts = F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0)))
+    return F.transform(firsts, lambda w, i: F.concat_ws(" ", w, F.get(words, i + 1)))
 
 
-def _pairs(words: Column, n: Column) -> Column:
-    return F.transform(F.slice(words, 1, F.greatest(n - 1, F.lit(0))), lambda w, i: F.concat_ws(" ", w, F.get(words, i + 1)))
+def _bucket(value: Column) -> Column:
+    return F.pmod(value, F.lit(SIZE)).cast("int")
+
+
+def _buckets(words: Column) -> tuple[Column, Column]:
+    """The hashed features of a list of words: of the words, and of the pairs."""
+    firsts = F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0)))
+    single = F.transform(words, lambda w: _bucket(F.xxhash64(w)))
+    return single, F.transform(firsts, lambda w, i: _bucket(F.xxhash64(w, F.get(words, i + 1))))
 
 
 def _featured(frame: DataFrame) -> DataFrame:
     """``frame(paragraph)`` with ``pairs`` and the distinct hashed features ``buckets``."""
-    worded = frame.withColumn("__w", words_of(F.col("paragraph"))).withColumn("__n", F.size("__w"))
-    paired = worded.withColumn("pairs", F.array_distinct(_pairs(F.col("__w"), F.col("__n"))))
-    # Numbers of versions and years tell no family apart; only their shape counts as a feature.
-    flat = F.transform(F.concat("__w", "pairs"), lambda g: F.regexp_replace(g, "[0-9]+", "0"))
-    hashed = F.array_distinct(F.transform(flat, lambda g: F.pmod(F.xxhash64(g), F.lit(SIZE)).cast("int")))
-    return paired.withColumn("buckets", hashed).drop("__w", "__n")
+    worded = frame.withColumn("__w", words_of(F.col("paragraph")))
+    return worded.withColumns({"pairs": F.array_distinct(_pairs(F.col("__w"))), "buckets": F.array_distinct(F.concat(*_buckets(F.col("__w"))))}).drop("__w")
 
 
 def training_rows() -> list[tuple[str, str, bool]]:
-    """(paragraph, family, held out) for every phrase in every frame, and the unknown paragraphs."""
+    """(paragraph, family, held out) for every phrase in every frame, the notices, and unknown paragraphs."""
     rows = []
     for family, phrases in sorted(TEMPLATES.items()):
         for phrase in phrases:
             rows += [(frame.format(phrase), family, False) for frame in FRAMES]
+    for family, notices in sorted(NOTICES.items()):
+        for notice in notices:
+            words = notice.split()
+            rows += [(" ".join(words[at:]), family, False) for at in range(3)] + [(" ".join(words[: len(words) - at]), family, False) for at in range(1, 3)]
     for k, text in enumerate(UNKNOWN):
         variants = [text, f"{text} today", f"the notice said {text}", f"copyright 2020 {text}", " ".join(reversed(text.split())), f"{text} under the law", f"see {text} for details", f"{text} version 2.0"]
         rows += [(v, "unknown", (k + q) % 4 == 0) for q, v in enumerate(variants)]
@@ -87,26 +118,46 @@ def training_rows() -> list[tuple[str, str, bool]]:
 
 
 class Model:
-    """Coefficients by class, and the least probability that a family needs."""
+    """Coefficients by class over the features seen in training, and the least probability of a family."""
+
+    def __init__(self, families: list[str], features: list[int], weights: list[list[float]], bias: list[float], floor: float):
+        self.families, self.features, self.weights, self.bias, self.floor = families, features, weights, bias, floor
 
-    def __init__(self, families: list[str], weights: list[list[float]], bias: list[float], floor: float):
-        self.families, self.weights, self.bias, self.floor = families, weights, bias, floor
+    def gains(self) -> list[float]:
+        """By feature: the most that it adds to any family's score over unknown, at least 0."""
+        unknown, *rest = self.weights
+        return [max(0.0, *(w[k] - unknown[k] for w in rest)) for k in range(len(self.features))]
 
+    def least(self) -> float:
+        """What gains must exceed for any family to be more probable than unknown."""
+        return self.bias[0] - max(self.bias[1:])
 
-def _summed(table: Column, bias: float) -> Column:
-    return F.aggregate("buckets", F.lit(float(bias)), lambda a, b: a + F.get(table, b))
+
+def _numbers(values: list, kind: str) -> Column:
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>")
+
+
+def _spread(model: Model, values: list) -> list:
+    """A value per bucket; 0 for features that training never met."""
+    table = [0] * SIZE
+    for bucket, value in zip(model.features, values):
+        table[bucket] = value
+    return table
 
 
 def _scored(frame: DataFrame, model: Model) -> DataFrame:
     """``frame(buckets)`` with ``family`` (``unknown`` included) and its probability ``p``."""
-    scores = []
-    for family, weights, bias in zip(model.families, model.weights, model.bias):
-        table = F.split(F.lit(",".join(repr(round(w, 9)) for w in weights)), ",").cast("array<double>")
-        scores.append(F.struct(_summed(table, bias).alias("score"), F.lit(family).alias("family")))
-    listed = frame.withColumn("__scores", F.array(*scores))
-    topped = listed.withColumn("__top", F.array_max("__scores"))
+    place = _numbers(_spread(model, list(range(1, len(model.features) + 1))), "int")
+    known = frame.withColumn("__known", F.filter(F.transform("buckets", lambda b: F.get(place, b)), lambda k: k > 0))
+
+    def score(weights, bias):
+        table = _numbers([round(w, 9) for w in weights], "double")
+        return F.aggregate("__known", F.lit(float(bias)), lambda a, k: a + F.get(table, k - 1))
+
+    scores = [F.struct(score(w, b).alias("score"), F.lit(f).alias("family")) for f, w, b in zip(model.families, model.weights, model.bias)]
+    topped = known.withColumn("__scores", F.array(*scores)).withColumn("__top", F.array_max("__scores"))
     total = F.aggregate("__scores", F.lit(0.0), lambda a, s: a + F.exp(s["score"] - F.col("__top.score")))
-    return topped.withColumns({"family": F.col("__top.family"), "p": 1 / total}).drop("__scores", "__top")
+    return topped.withColumns({"family": F.col("__top.family"), "p": 1 / total}).drop("__known", "__scores", "__top")
 
 
 def train(spark: SparkSession) -> Model:
@@ -116,16 +167,18 @@ def train(spark: SparkSession) -> Model:
 
     families = ["unknown", *sorted(TEMPLATES)]
     rows = spark.createDataFrame([(text, float(families.index(f)), held) for text, f, held in training_rows()], "paragraph string, label double, held boolean").coalesce(1)
-    made = _featured(rows)
-    sparse = CountVectorizerModel.from_vocabulary([str(k) for k in range(SIZE)], inputCol="names", outputCol="features", minTF=1.0)
-    named = made.filter("NOT held").select("label", F.col("buckets").cast("array<string>").alias("names"))
-    vectors = sparse.transform(named).select("label", "features").cache()
+    made = _featured(rows).cache()
+    fit = made.filter("NOT held")
+    features = sorted(r[0] for r in fit.select(F.explode("buckets")).distinct().collect())
+    counted = CountVectorizerModel.from_vocabulary([str(k) for k in features], inputCol="names", outputCol="features", minTF=1.0)
+    vectors = counted.transform(fit.select("label", F.col("buckets").cast("array<string>").alias("names"))).select("label", "features").cache()
     fitted = LogisticRegression(maxIter=60, regParam=2e-4, elasticNetParam=0.2, family="multinomial", standardization=False).fit(vectors)
     vectors.unpersist()
     matrix = fitted.coefficientMatrix.toArray()
-    model = Model(families, [[float(x) for x in r] for r in matrix], [float(x) for x in fitted.interceptVector.toArray()], 0.0)
+    model = Model(families, features, [[float(x) for x in r] for r in matrix], [float(x) for x in fitted.interceptVector.toArray()], 0.0)
     # The floor: above what any held-out unknown paragraph gives a family.
     wrong = _scored(made.filter("held"), model).agg(F.max(F.when(F.col("family") != "unknown", F.col("p")))).first()[0]
+    made.unpersist()
     model.floor = min(0.9, max(0.5, float(wrong or 0.0)))
     return model
 
@@ -134,60 +187,66 @@ def _confirmed(pairs: Column) -> Column:
     """By family: whether one of its templates has ``CONFIRM`` of its word pairs among ``pairs``."""
     found = F.lit(False)
     for family, phrases in sorted(TEMPLATES.items()):
-        tests = []
-        for phrase in phrases:
-            words = phrase.split()
+        held = []
+        for phrase in [*phrases, *NOTICES.get(family, [])]:
+            words = "".join("0" if c.isdigit() else c if c.isalpha() else " " for c in phrase).split()
             want = sorted({f"{a} {b}" for a, b in zip(words, words[1:])})
-            tests.append(F.size(F.array_intersect(pairs, F.array(*map(F.lit, want)))) >= CONFIRM * len(want))
-        any_of = tests[0]
-        for test in tests[1:]:
-            any_of = any_of | test
-        found = F.when(F.col("family") == family, any_of).otherwise(found)
+            held.append(F.size(F.array_intersect(pairs, F.lit(want))) >= CONFIRM * len(want))
+        found = F.when(F.col("family") == family, F.greatest(*held) if len(held) > 1 else held[0]).otherwise(found)
     return found
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None) -> DataFrame:
-    """One row per input row: ``(doc_id, n_paragraphs, n_licence, families, licensed)``.
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None, bound: bool = True) -> DataFrame:
+    """One row per input row: ``(doc_id, n_paragraphs, n_licence, families, licensed, suspected)``.
 
-    Paragraphs are lines with a visible character; ``n_licence`` are those of a confirmed family, and
+    ``n_paragraphs`` are the lines with a visible character; ``n_licence`` are those of a confirmed family, and
     one for each family that only joined lines of a block (lines without a blank one between) confirm;
-    ``families`` are their distinct families, sorted and joined by commas (empty if none).  A null or empty
+    ``families`` are their distinct families, sorted and joined by commas (empty if none); ``suspected``
+    are the families that the classifier gives single lines without confirmation.  A null or empty
     text has no paragraphs.  Texts and lines of any length are read whole; repeated rows and null ids
     stay; an empty table gives an empty result; other columns are ignored, so none can clash.
+    ``bound=False`` works out the scores of all lines, with the same result.
     """
     model = model or train(docs.sparkSession)
-    visible = lambda p: p.rlike(r"[^\x20\x09-\x0D]")
-    blocks = F.split(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), r"\n[\x20\x09-\x0D]*\n")
-    lines = F.transform(blocks, lambda b: F.filter(F.split(b, "\n"), visible))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("doc_id"), lines.alias("blocks"))
-    counted = F.aggregate("blocks", F.lit(0).cast("bigint"), lambda n, b: n + F.size(b))
-    numbered = F.filter(F.transform("blocks", lambda b, i: F.struct(i.alias("block"), b.alias("lines"))), lambda b: F.exists(b["lines"], lambda p: p.rlike(KEY_PATTERN)))
-    some = rows.select("row", "doc_id", counted.alias("n_paragraphs"), numbered.alias("blocks"))
-    blocked = some.select("row", "doc_id", "n_paragraphs", F.explode_outer("blocks").alias("b")).select("row", "doc_id", "n_paragraphs", "b.block", "b.lines")
-    # The numbers of lines with a key word, and every run of 2 to JOINED lines around one, or the whole block.
-    size = F.size("lines")
-    keyed = F.filter(F.transform("lines", lambda p, i: F.when(p.rlike(KEY_PATTERN), i)), lambda i: i.isNotNull())
-    marked = blocked.withColumn("keyed", keyed)
-    singles = F.transform("keyed", lambda i: F.struct(F.lit(False).alias("wrapped"), i.alias("at"), F.lit(1).alias("n")))
-    around = lambda back, n: F.transform("keyed", lambda i: F.struct(F.lit(True).alias("wrapped"), (i - back).alias("at"), F.lit(n).alias("n")))
-    wide = [around(back, n) for n in range(2, JOINED + 1) for back in range(n)]
-    whole = F.when(size > JOINED, F.array(F.struct(F.lit(True).alias("wrapped"), F.lit(0).alias("at"), size.alias("n")))).otherwise(F.array().cast("array<struct<wrapped:boolean,at:int,n:int>>"))
-    runs = F.filter(F.array_distinct(F.concat(singles, *wide, whole)), lambda r: (r["at"] >= 0) & (r["at"] + r["n"] <= size))
-    parts = F.transform(runs, lambda r: F.struct(r["wrapped"].alias("wrapped"), F.array_join(F.slice("lines", r["at"] + 1, r["n"]), " ").alias("paragraph")))
-    spread = marked.select("row", "doc_id", "n_paragraphs", "block", F.explode_outer(parts).alias("p")).select("row", "doc_id", "n_paragraphs", "block", "p.wrapped", "p.paragraph")
+    lines = F.split(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), "\n")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("doc_id"), lines.alias("lines"))
+    # Every line's words, with the first of the next line's, so that the pair between them counts.
+    worded = rows.withColumn("words", F.transform("lines", words_of))
+    gain = _numbers([round(g, 9) for g in _spread(model, model.gains())], "double")
+
+    def gained(words, i):
+        after = F.coalesce(F.get(F.col("words"), i + 1), F.array().cast("array<string>"))
+        single, pair = _buckets(F.concat(words, F.slice(after, 1, 1)))
+        add = lambda total, b: total + F.get(gain, b)
+        return F.aggregate(pair, F.aggregate(single, F.lit(0.0), add), add)
+
+    gains = F.transform("words", gained) if bound else F.transform("words", lambda w: F.lit(1e6))
+    marked = worded.select("row", "doc_id", "lines", gains.alias("gains"), F.transform("lines", lambda p: p.rlike(r"[^\x20\x09-\x0D]")).alias("seen"))
+    counted = marked.withColumn("n_paragraphs", F.size(F.filter("seen", lambda s: s)).cast("bigint"))
+    # Runs that start at a line with some gain and whose gains may do; a blank line ends them.
+    starts = F.filter(F.transform("gains", lambda g, i: F.when((g > 0) & F.get("seen", i), i)), lambda i: i.isNotNull())
+    runs = F.flatten(F.transform("starts", lambda i: F.transform(F.sequence(F.lit(1), F.lit(JOINED)), lambda n: F.struct(i.alias("at"), n.alias("n")))))
+    whole = lambda r: F.forall(F.slice("seen", r["at"] + 1, r["n"]), lambda s: s) & (r["at"] + r["n"] <= F.size("lines"))
+    enough = lambda r: F.aggregate(F.slice("gains", r["at"] + 1, r["n"]), F.lit(0.0), lambda a, g: a + g) > model.least() - 1e-6
+    begun = counted.select("row", "doc_id", "n_paragraphs", "lines", "seen", "gains", starts.alias("starts"))
+    chosen = begun.select("row", "doc_id", "n_paragraphs", "lines", "seen", F.filter(F.filter(runs, enough), whole).alias("runs"))
+    part = lambda r: F.struct((r["n"] > 1).alias("wrapped"), F.size(F.filter(F.slice("seen", 1, r["at"]), lambda s: ~s)).alias("block"), F.array_join(F.slice("lines", r["at"] + 1, r["n"]), " ").alias("paragraph"))
+    spread = chosen.select("row", "doc_id", "n_paragraphs", F.explode_outer(F.transform("runs", part)).alias("p")).select("row", "doc_id", "n_paragraphs", "p.block", "p.wrapped", "p.paragraph")
     scored = _scored(_featured(spread), model)
-    sure = F.col("paragraph").isNotNull() & (F.col("family") != "unknown") & (F.col("p") >= model.floor) & _confirmed(F.col("pairs"))
-    found = scored.select("row", "doc_id", "n_paragraphs", "wrapped", "block", F.when(sure, F.col("family")).alias("family"))
-    placed = F.when(F.col("family").isNotNull(), F.struct("block", "family"))
-    grouped = found.groupBy("row").agg(
+    predicted = F.col("paragraph").isNotNull() & (F.col("family") != "unknown") & (F.col("p") >= model.floor)
+    judged = scored.select("row", "doc_id", "n_paragraphs", "wrapped", "block", F.when(predicted, F.col("family")).alias("family"), _confirmed(F.col("pairs")).alias("sure"))
+    sure, plain = F.when(F.col("sure"), F.col("family")), ~F.col("wrapped")
+    placed = F.when(sure.isNotNull(), F.struct("block", "family"))
+    grouped = judged.groupBy("row").agg(
         F.first("doc_id").alias("doc_id"),
         F.first("n_paragraphs").alias("n_paragraphs"),
-        F.count(F.when(~F.col("wrapped"), F.col("family"))).alias("lines"),
-        F.collect_set(F.when(~F.col("wrapped"), placed)).alias("plain"),
-        F.collect_set(F.when(F.col("wrapped"), placed)).alias("joined"),
-        F.collect_set("family").alias("families"),
+        F.count(F.when(plain, sure)).alias("lines"),
+        F.collect_set(F.when(plain, placed)).alias("plain"),
+        F.collect_set(F.when(~plain, placed)).alias("joined"),
+        F.collect_set(sure).alias("families"),
+        F.collect_set(F.when(plain & ~F.col("sure"), F.col("family"))).alias("suspected"),
     )
     more = F.size(F.array_except("joined", "plain")).cast("bigint")
-    per = grouped.select("doc_id", "n_paragraphs", (F.col("lines") + more).alias("n_licence"), "families")
-    joined = F.array_join(F.array_sort("families"), ",")
-    return per.select("doc_id", "n_paragraphs", "n_licence", joined.alias("families"), (F.col("n_licence") > 0).alias("licensed"))
+    listed = lambda c: F.array_join(F.array_sort(c), ",")
+    per = grouped.select("doc_id", "n_paragraphs", (F.col("lines") + more).alias("n_licence"), listed("families").alias("families"), listed("suspected").alias("suspected"))
+    return per.select("doc_id", "n_paragraphs", "n_licence", "families", (F.col("n_licence") > 0).alias("licensed"), "suspected")

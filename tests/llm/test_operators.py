@@ -498,12 +498,15 @@ def license_model(spark):
     return licenses.train(spark)
 
 
-def test_key_words_lose_nothing():
-    key = re.compile(licenses.KEY_PATTERN)
-    for phrases in licenses.TEMPLATES.values():
-        for phrase in phrases:
-            pairs = set(zip(phrase.split(), phrase.split()[1:]))
-            assert sum(not key.search(f"{a} {b}") for a, b in pairs) < licenses.CONFIRM * len(pairs)
+def test_bound_loses_nothing(spark, vocabulary, license_model):
+    rng = random.Random(5)
+    flat = [w for ps in [*licenses.TEMPLATES.values(), licenses.UNKNOWN, licenses.FRAMES, *licenses.NOTICES.values()] for p in ps for w in p.split()]
+    line = lambda: " ".join(rng.choice(flat) if rng.random() < 0.6 else rng.choice(vocabulary) for _ in range(rng.randint(1, 14)))
+    phrase = lambda: rng.choice(rng.choice(list(licenses.TEMPLATES.values())))
+    texts = ["\n".join(rng.choice([line, line, phrase, lambda: ""])() for _ in range(rng.randint(1, 8))) for _ in range(150)]
+    docs = docs_of(spark, list(enumerate(texts)))
+    one, two = (sorted(map(tuple, licenses.scan(docs, model=license_model, bound=b).collect())) for b in (True, False))
+    assert one == two and sum(r[4] for r in one) > 30
 
 
 def test_licenses(spark, odd, none, license_model):
