@@ -6,11 +6,16 @@ subtree and those of its links (LC, LT); its composite density is
     C / T * log(C / not-link chars * LC + LC_body / C_body * C + e) (C / LC * T / LT)
 
 with the logarithm to that base, so that link-heavy nodes fall.  Each node's density sum is that of
-its children's densities; the threshold is the least density on the path from the body down to the
-node of the largest sum.  The article is the highest subtree on that path that adds siblings of at
-least the threshold.  Inside it, siblings of the path that are mostly links and under the threshold,
-and nodes whose tag, class or id names furniture, go; a name that parts of articles bear too counts
-only with a low density or many links, and never for headings.
+its children's densities; the subtree of the largest sum is the core of the article, and the least
+density on the path from the body down to it is the threshold.  The article is the highest node on that
+path that adds siblings of at least the threshold and a ``LEAST`` share of its text, or of tags that hold
+text only (headings, paragraphs, lists), none of them mostly links; beyond an ``article`` or ``main``
+only others of these and sections are added.  What else the way up adds goes if it is a plain container or mostly links.
+
+Tags, classes and ids that name furniture are weights: such a node does not count for what is around it
+and its own density is cut to a share (``FIRM``, ``FAINT``).  Where the densest subtree is inside such a
+node none the less, the node is the article's wrapper and its name is ignored.  Inside the article,
+furniture goes; what only an ambiguous name calls furniture stays if it is a heading or dense text.
 """
 
 from __future__ import annotations
@@ -55,72 +60,85 @@ SCOPES = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {
 
 TAG = re.compile(r"<(?:!--(?P<comment>.*?)(?:--!?>|\Z)|(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*+)(?:>|\Z)|(?P<other>[!?/][^>]*)>)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I) for name in RAW}
 BLANKS = " \t\n\x0c\r"
+FIRM, FAINT = 0.1, 0.5  # shares of its density that a node keeps that is furniture by name, or only perhaps
+LEAST = 0.05  # share of the core's text that a plain container beside it needs
+#: Elements that hold text, and those that hold an article.
+CONTENT = frozenset("h1 h2 h3 h4 h5 h6 hgroup p ul ol dl blockquote pre table figure hr".split())
+HOLDERS = frozenset("article main section".split())
+#: Containers that say nothing of what they hold: only their density speaks for them.
+PLAIN = frozenset("div section span center td th tr table tbody a small".split())
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children", "parent", "chars", "tags", "link_chars", "link_tags", "density", "total", "dropped", "named")
+    __slots__ = ("tag", "attrs", "children", "parent", "chars", "tags", "link_chars", "link_tags", "density", "total", "kind", "weight", "wrapper", "dropped")
 
     def __init__(self, tag: str, attrs: str = "", parent: "Node | None" = None):
         self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
-        self.dropped = self.named = False
+        self.weight = 1.0
+        self.kind = 0
+        self.wrapper = self.dropped = False
 
 
 def parse(page: str) -> Node:
-    """The DOM of a page; text is kept undecoded, omitted and misplaced end tags are mended."""
+    """The DOM of a page; text is kept undecoded, omitted and misplaced end tags are mended.
+
+    ``depths`` has the places of the open elements by tag, so that no step looks through all of them.
+    """
     root = Node("html")
-    body = here = Node("body", parent=root)
+    body = Node("body", parent=root)
     root.children.append(body)
+    path = [body]
+    depths: dict[str, list[int]] = {}
+
+    def last(tags) -> int:
+        return max((depths[t][-1] for t in tags if depths.get(t)), default=0)
+
+    def close(depth: int) -> None:
+        """Leave the element at ``depth`` and all in it."""
+        while len(path) > depth:
+            depths[path.pop().tag].pop()
+
     at, n = 0, len(page)
     while at < n:
         found = TAG.search(page, at)
         stop = found.start() if found else n
         if stop > at:
-            here.children.append(page[at:stop])
+            path[-1].children.append(page[at:stop])
         if not found:
             break
         at = found.end()
         name = found["name"]
         if not name:
             continue
-        name = name.lower()
+        name, rest = name.lower(), found["rest"] or ""
         if name in ("html", "head", "body"):
-            if name != "html" and not found["close"] and name == "body":
-                body.attrs = found["rest"] or ""
-                here = body
-            elif name == "head" and found["close"]:
-                here = body
+            if name == "body" and not found["close"]:
+                body.attrs = rest
+            if name != "html" and (name == "body") != bool(found["close"]):
+                close(1)
             continue
         if found["close"]:
-            up = here
-            while up is not body and up.tag != name:
-                up = up.parent
-            if up is not body:
-                here = up.parent
+            if depths.get(name):
+                close(depths[name][-1])
             continue
-        if name in CLOSES_P:
-            up = here
-            while up is not body and up.tag != "p" and up.tag not in ("td", "th", "button", "object"):
-                up = up.parent
-            if up.tag == "p":
-                here = up.parent
-        if name in SIBLINGS:
-            up = here
-            while up is not body and up.tag not in SIBLINGS[name] and up.tag not in SCOPES[name]:
-                up = up.parent
-            while up is not body and up.tag in SIBLINGS[name]:
-                here = up = up.parent
-        node = Node(name, found["rest"] or "", here)
-        here.children.append(node)
+        if name in CLOSES_P and depths.get("p") and depths["p"][-1] > last(("td", "th", "button", "object")):
+            close(depths["p"][-1])
+        while name in SIBLINGS and last(SIBLINGS[name]) > last(SCOPES[name]):
+            close(last(SIBLINGS[name]))
+        node = Node(name, rest, path[-1])
+        path[-1].children.append(node)
         if name in RAW:
-            end = re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I).search(page, at)
+            end = RAW_END[name].search(page, at)
             if name in ("textarea", "title", "noscript"):
                 node.children.append(page[at : end.start() if end else n])
             at = end.end() if end else n
-        elif name not in VOID and not (found["rest"] or "").endswith("/"):
-            here = node
+        elif name not in VOID and not rest.endswith("/"):
+            depths.setdefault(name, []).append(len(path))
+            path.append(node)
     return root
 
 
@@ -154,120 +172,110 @@ def _order(root: Node) -> list[Node]:
     return out
 
 
-def measure(root: Node) -> list[Node]:
-    """Fill in counts, densities and density sums; what furniture names counts as link text."""
-    nodes = _order(root)
-    # What holds the article itself is never furniture, whatever its class says of the layout.
-    holds: set[int] = set()
-    for node in nodes:
-        if node.tag in ("body", "main") or (node.tag == "article" and not _furniture(node)):
-            up = node
-            while up is not None and id(up) not in holds:
-                holds.add(id(up))
-                up = up.parent
-    for node in nodes:
-        kind = 0 if id(node) in holds else _furniture(node)
-        node.named = kind == 1
-        node.dropped = bool(node.parent and node.parent.dropped) or kind > 0
+def _density(chars: int, tags: int, link_chars: int, link_tags: int, share: float) -> float:
+    if not chars:
+        return 0.0
+    tags, links, link_tags = max(tags, 1), max(link_chars, 1), max(link_tags, 1)
+    base = math.log(chars / max(chars - link_chars, 1) * link_chars + share * chars + math.e)
+    return chars / tags * math.log(max(chars / links * tags / link_tags, 1.0)) / base
+
+
+def measure(nodes: list[Node]) -> None:
+    """Fill in counts, densities and density sums; ``kind`` and ``wrapper`` are set.
+
+    The counts of furniture do not go into those of what holds it.
+    """
     for node in reversed(nodes):
         chars = tags = link_chars = link_tags = 0
         for child in node.children:
-            if isinstance(child, Node):
+            if isinstance(child, str):
+                chars += len(child.strip(BLANKS))
+            elif child.wrapper or not child.kind:
                 chars, tags = chars + child.chars, tags + child.tags + 1
                 link_chars, link_tags = link_chars + child.link_chars, link_tags + child.link_tags + (child.tag == "a")
-            else:
-                chars += len(child.strip(BLANKS))
         if node.tag in RAW or node.tag == "head":
             chars = link_chars = 0
-        if node.tag == "a" or node.dropped:
+        if node.tag == "a":
             link_chars, link_tags = chars, max(tags, link_tags)
         node.chars, node.tags, node.link_chars, node.link_tags = chars, tags, link_chars, link_tags
-    body = nodes[1] if len(nodes) > 1 else nodes[0]
+    body = nodes[1]
     share = body.link_chars / body.chars if body.chars else 0.0
-    for node in nodes:
-        if node.chars:
-            node.density = _density(node.chars, node.tags, node.link_chars, node.link_tags, share)
+    for node in nodes[1:]:
+        own = 1.0 if node.wrapper else (1.0, FAINT, FIRM)[node.kind]
+        node.weight = min(own, node.parent.weight)
+        node.density = node.weight * _density(node.chars, node.tags, node.link_chars, node.link_tags, share)
     for node in nodes:
         node.total = sum(c.density for c in node.children if isinstance(c, Node))
-    return nodes
 
 
-def main_node(root: Node) -> tuple[Node, float]:
-    """The subtree of the largest density sum and the threshold on its path."""
-    nodes = measure(root)
-    body = next(c for c in root.children if isinstance(c, Node) and c.tag == "body")
-    best = body
-    for node in nodes:
-        if not node.dropped and node is not root and node.total > best.total:
+def _core(nodes: list[Node]) -> Node:
+    """The node of the largest density sum (the highest of equals; the body if all are 0)."""
+    best = nodes[1]
+    for node in nodes[2:]:
+        if node.total > best.total:
             best = node
-    threshold, up = body.density, best
-    while up is not root:
-        threshold = min(threshold, up.density)
-        up = up.parent
-    # The article may go on beside the densest child: climb to the highest node on the path that adds
-    # subtrees of at least the threshold, past wrappers that add nothing.
-    top = up = best
-    while up is not body:
-        if _adds_text(up, threshold, up is top):
-            top = up.parent
-        up = up.parent
-    # What climbing adds besides text: link lists under the threshold.
-    while best is not top:
-        for beside in best.parent.children:
-            if isinstance(beside, Node) and beside is not best and beside.density < threshold and beside.link_chars * 2 >= beside.chars > 0:
-                beside.dropped = True
-        best = best.parent
-    _restore(top, body, threshold)
-    return top, threshold
-
-
-def _density(chars: int, tags: int, link_chars: int, link_tags: int, share: float) -> float:
-    if not chars:
-        return 0.0
-    tags, links, link_tags = max(tags, 1), max(link_chars, 1), max(link_tags, 1)
-    base = math.log(chars / max(chars - link_chars, 1) * link_chars + share * chars + math.e)
-    return chars / tags * math.log(max(chars / links * tags / link_tags, 1.0)) / base
+    return best
 
 
-def _restore(top: Node, body: Node, threshold: float) -> None:
-    """Take back what only an ambiguous name dropped inside the article: headings and dense text."""
+def main_node(root: Node) -> tuple[Node, float]:
+    """The article's node and the threshold; what does not belong to the article inside is marked."""
+    nodes = _order(root)
+    body = nodes[1]
+    for node in nodes[2:]:
+        node.kind = _furniture(node)
+    measure(nodes)
+    up, wrapped = _core(nodes), False
+    while up is not body and up is not root:
+        if up.kind:
+            up.wrapper = wrapped = True
+        up = up.parent
+    if wrapped:  # the names of what holds the densest text mean nothing
+        measure(nodes)
+    best = _core(nodes)
+    path = [best]
+    while path[-1] is not body:
+        path.append(path[-1].parent)
+    threshold = min(node.density for node in path)
+    least, top, held = LEAST * best.chars, 0, False
+    for k in range(1, len(path)):
+        held = held or path[k - 1].tag in ("article", "main")
+        if any(_adds(c, threshold, least, held) for c in path[k].children if c is not path[k - 1]):
+            top = k
+    held = False
+    for k in range(1, top + 1):
+        held = held or path[k - 1].tag in ("article", "main")
+        for beside in path[k].children:
+            if isinstance(beside, Node) and beside is not path[k - 1] and not _adds(beside, threshold, least, held):
+                beside.dropped = held or beside.tag in PLAIN or _linked(beside)
+    _drop_furniture(path[top], body, threshold)
+    return path[top], threshold
+
+
+def _linked(node: Node) -> bool:
+    """Whether a subtree is mostly links."""
+    return node.link_chars * 2 >= node.chars > 0
+
+
+def _adds(beside, threshold: float, least: float, held: bool) -> bool:
+    """Whether a sibling of what is found so far belongs to the article; ``held``: that is an article element."""
+    if isinstance(beside, str) or not beside.chars or _linked(beside) or (beside.kind == 2 and not beside.wrapper):
+        return False
+    if held and beside.tag not in HOLDERS:
+        return False
+    return beside.tag in CONTENT or (beside.density >= threshold and beside.chars >= least)
+
+
+def _drop_furniture(top: Node, body: Node, threshold: float) -> None:
+    """Mark the furniture inside the article; an ambiguous name needs a low density or many links too."""
     share = body.link_chars / body.chars if body.chars else 0.0
-    stack = [(top, False)]
+    stack = [top]
     while stack:
-        node, freed = stack.pop()
-        if freed:  # its parent is back; firm furniture in it stays out
-            node.dropped = _furniture(node) > 0
-        if node.dropped and node.named:
-            chars, tags, link_chars, link_tags = _plain_counts(node)
-            if node.tag in HEADINGS or (link_chars * 2 < chars and _density(chars, tags, link_chars, link_tags, share) >= threshold):
-                node.dropped, freed = False, True
+        node = stack.pop()
+        if node is not top and node.kind and not node.wrapper:
+            dense = not _linked(node) and _density(node.chars, node.tags, node.link_chars, node.link_tags, share) >= threshold
+            node.dropped |= node.kind == 2 or not (node.tag in HEADINGS or dense)
         if not node.dropped:
-            stack += [(c, freed) for c in node.children if isinstance(c, Node)]
-
-
-def _plain_counts(root: Node) -> tuple[int, int, int, int]:
-    """Characters, tags and those of links of a subtree without what is firmly furniture in it."""
-    chars = tags = link_chars = link_tags = 0
-    stack = [(root, False)]
-    while stack:
-        node, linked = stack.pop()
-        linked = linked or node.tag == "a"
-        for child in node.children:
-            if isinstance(child, Node):
-                if child.tag not in RAW and _furniture(child) < 2:
-                    tags, link_tags = tags + 1, link_tags + (child.tag == "a")
-                    stack.append((child, linked))
-            else:
-                n = len(child.strip(BLANKS))
-                chars, link_chars = chars + n, link_chars + n * linked
-    return chars, tags, link_chars, link_tags
-
-
-def _adds_text(node: Node, threshold: float, next_to: bool) -> bool:
-    """Whether a sibling is text; any block is, if the article found so far is ``next_to`` it."""
-    beside = [c for c in node.parent.children if c is not node]
-    text = [c for c in beside if isinstance(c, Node) and c.chars and not c.dropped and c.link_chars * 2 < c.chars]
-    return any(c.density >= threshold or (next_to and c.tag in BLOCK) for c in text)
+            stack += [c for c in node.children if isinstance(c, Node)]
 
 
 def blocks(node: Node) -> list[str]:

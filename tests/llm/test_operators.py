@@ -298,6 +298,57 @@ def test_html_keeps_article_parts_of_ambiguous_names():
     assert text == "\n\n".join(["Title", f"Start {words}", f"Discussion {words}", "Related work", f"More {words}", "Privacy", f"Results {words}", f"Legal {words}", f"Notice {words}", f"End {words}"])
 
 
+def article_of(page):
+    """The text of a page's article element, from its markup alone."""
+    stack = [html_text.parse(page)]
+    while stack:
+        node = stack.pop()
+        if not isinstance(node, str):
+            if node.tag == "article":
+                return "\n\n".join(html_text.blocks(node))
+            stack += node.children
+
+
+def test_html_articles_come_out_whole(monkeypatch):
+    import pyarrow.parquet as pq
+
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet").column("html").to_pylist()
+    wanted = [article_of(p) for p in pages]
+    assert [html_text.main_text(p) for p in pages] == wanted
+    monkeypatch.setattr(html_text, "NAMED", re.compile("(?!)"))  # density and tags only
+    found = [html_text.main_text(p) for p in pages]
+    assert sum(a == b for a, b in zip(found, wanted)) >= 0.95 * len(pages) and all(b in a for a, b in zip(found, wanted))
+    monkeypatch.setattr(html_text, "FURNITURE", frozenset("script style noscript head title template".split()))  # density only
+    plain = [p.replace("<article>", "<div>").replace("</article>", "</div>") for p in pages]
+    assert all(b in html_text.main_text(p) for p, b in zip(plain, wanted))
+
+
+@pytest.mark.parametrize("name", ["content share", "legal", "privacy", "related-work", "form", "popular", "alert", "sidebar-left main", "comments"])
+def test_html_name_of_the_wrapper_deletes_nothing(name):
+    words = "goes on with plain words " * 11 + "here."
+    parts = ["Title", *[f"Paragraph {k} {words}" for k in range(6)]]
+    body = f"<h1>Title</h1><ul>{''.join(f'<li><a href=/{k}>Go to {k}</a></li>' for k in range(5))}</ul>" + "".join(f"<p>{p}</p>" for p in parts[1:])
+    beside = "<div>Subscribe now to our weekly letter</div><nav><a href='/'>Home</a></nav>"
+    for page in (f"<body>{beside}<article><div class='{name}'>{body}</div></article>{beside}</body>", f"<body><form id='{name}'>{beside}<div>{body}</div></form></body>"):
+        assert html_text.main_text(page).replace("Go to 0\n\nGo to 1\n\nGo to 2\n\nGo to 3\n\nGo to 4\n\n", "") == "\n\n".join(parts)
+
+
+def test_html_keeps_no_comments_of_readers():
+    words = "goes on with plain words " * 11 + "here."
+    comments = "<section id='comments'>" + "".join(f"<div class='comment'><p>Reader {k} {words}</p></div>" for k in range(4)) + "</section>"
+    article = "".join(f"<p>Paragraph {k} {words}</p>" for k in range(5))
+    for page in (f"<article>{article}{comments}</article>", f"<div id=page><div class=post>{article}</div>{comments}</div>"):
+        assert html_text.main_text(page) == "\n\n".join(f"Paragraph {k} {words}" for k in range(5))
+
+
+def test_html_of_hostile_nesting():
+    import time
+
+    for page in ("<div>" * 50_000 + "x", "<p><table><td>" + "<div>" * 50_000 + "x", "<ul><li>" * 20_000 + "x", "<p>" + "</b></i>" * 50_000 + "x", "<b>" * 50_000 + "<p>" * 5_000 + "x"):
+        began = time.process_time()
+        assert html_text.main_text(page) == "x" and time.process_time() - began < 5
+
+
 # 5
 
 
