@@ -18,10 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (single-machine tests) a temporary folder is set.
+    Only a session whose driver and executors are one process may go without: it gets a temporary folder.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quarrytext-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -30,14 +32,26 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as a Parquet table in the shared folder and read it back.
 
-    This cuts the lineage so that a lost executor costs a re-read, not a recomputation.
+    This cuts the lineage so that a lost executor costs a re-read, not a recomputation.  The tables of a
+    session lie in one folder, for results may still read them; :func:`clear` deletes it.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quarrytext/{name}-{uuid.uuid4().hex}"
+    path = f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/quarrytext/{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete what :func:`written` wrote in this session; call it once the results are stored."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def only(df: DataFrame, **columns: str) -> DataFrame:
     """``df`` reduced to the named columns under fixed names, so that no other column can clash."""
     return df.select([F.col(f"`{source}`").alias(name) for name, source in columns.items()])

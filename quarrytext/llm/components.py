@@ -27,24 +27,20 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("a", F.col("low").alias("b"))).filter("a <> b").distinct()
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """``(node, root)`` for every node of ``edges(a bigint, b bigint)``; root is the smallest node reachable.
 
-    Only aggregates and joins touch the edges, so a hub is never gathered in one group; the rounds
-    grow with the logarithm of the longest path.  Every round is written to the shared folder.
+    Aggregates combine before the shuffle, and the joins stream the edges against one row per node, so
+    a hub's edges are never gathered in memory and adaptive execution can split them.  The rounds grow
+    with the logarithm of the longest path and go on until nothing changes.  Every round is written to
+    the shared folder.
     Edges with a null or equal ends are ignored; an empty list gives an empty result.
     """
     edges = edges.filter("a IS NOT NULL AND b IS NOT NULL AND a <> b")
     edges = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    state = _state(edges)
-    for _ in range(max_rounds):
-        if state[0] == 0:
-            break
+    state, before = _state(edges), None
+    while state[0] and state != before:
         edges = written(_small_star(_large_star(edges).distinct()), "edges")
         before, state = state, _state(edges)
-        if state == before:
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = edges.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("root"))
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)

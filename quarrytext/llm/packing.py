@@ -1,7 +1,8 @@
 """Packing into optimal length buckets with token-budget batches (operator 1).
 
-The histogram of all lengths (one entry per length up to ``max_length``) is the only thing that
-reaches the driver.  A dynamic programme over it picks the bucket boundaries of least padding; the
+The histogram of all lengths (one entry per length that occurs) is the only thing that reaches the
+driver.  It has at most sqrt(2 * tokens) entries, for d different lengths need d * d / 2 tokens: six million
+for 100 TB of text.  A dynamic programme over it picks the bucket boundaries of least padding; the
 rows of a bucket are then numbered in a distributed way and cut into batches of the token budget.
 """
 
@@ -14,7 +15,6 @@ from pyspark.sql import functions as F
 from quarrytext.llm.base import written
 
 BUCKETS = 16
-MAX_LENGTH = 16_384
 BUDGET = 32_768
 SLOT = 20_000  # rows that one sort for numbering holds on average
 
@@ -76,14 +76,14 @@ def optimal_boundaries(histogram: dict[int, int], buckets: int = BUCKETS) -> lis
     return out[::-1]
 
 
-def pack(docs: DataFrame, length: Column | None = None, buckets: int = BUCKETS, budget: int = BUDGET, max_length: int = MAX_LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, length: Column | None = None, buckets: int = BUCKETS, budget: int = BUDGET, max_length: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``(doc_id, n_tokens, bucket, bucket_length, batch_id, slot, padding)``.
 
-    ``n_tokens`` is ``length`` (by default the words of the text; null counts as 0).  Rows of 1 to
-    ``max_length`` tokens go to the first bucket whose boundary holds them, padded to it; a batch
+    ``n_tokens`` is ``length`` (by default the words of the text; null counts as 0).  Rows with tokens
+    go to the first bucket whose boundary holds them, padded to it; a batch
     takes rows of one bucket while boundary times rows stays within ``budget`` (at least one row).
-    Rows without tokens are in bucket -1 and batch -1 with padding 0.  A row longer than
-    ``max_length`` is never cut: it is a batch by itself, unpadded, in bucket ``buckets``.
+    Rows without tokens are in bucket -1 and batch -1 with padding 0.  If ``max_length`` is given,
+    longer rows take no part in this: each is a batch by itself, unpadded, in bucket ``buckets``.
     ``batch_id`` starts from 0 in every bucket; ``slot`` is the place inside the batch.  Only the last
     batch of a bucket can be short.  Rows keep no order inside a bucket beyond a hash of the id;
     repeated rows and null ids stay and get places of their own; an empty table gives an empty
@@ -91,13 +91,14 @@ def pack(docs: DataFrame, length: Column | None = None, buckets: int = BUCKETS,
     """
     n_tokens = length if length is not None else word_count(F.col(f"`{text_col}`"))
     rows = written(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(n_tokens, F.lit(0)).cast("bigint").alias("n_tokens")), "lengths")
-    counted = rows.filter(F.col("n_tokens").between(1, max_length)).groupBy("n_tokens").count().collect()
-    ends = optimal_boundaries({r["n_tokens"]: r["count"] for r in counted}, buckets)
+    empty = F.col("n_tokens") < 1
+    long = F.lit(False) if max_length is None else F.col("n_tokens") > max_length
+    counted = rows.filter(~empty & ~long).groupBy("n_tokens").count().toArrow()
+    ends = optimal_boundaries(dict(zip(counted.column(0).to_pylist(), counted.column(1).to_pylist())), buckets)
     boundary, number = F.lit(None).cast("bigint"), F.lit(None).cast("int")
     for k in reversed(range(len(ends))):
         fits = F.col("n_tokens") <= ends[k]
         boundary, number = F.when(fits, F.lit(ends[k])).otherwise(boundary), F.when(fits, F.lit(k)).otherwise(number)
-    empty, long = F.col("n_tokens") < 1, F.col("n_tokens") > max_length
     number = F.when(empty, -1).when(long, buckets).otherwise(number)
     boundary = F.when(empty, 0).when(long, F.col("n_tokens")).otherwise(boundary)
     parts = max(1, -(-rows.count() // SLOT))
