@@ -18,21 +18,28 @@ BASE = len(ALPHABET)
 WORD = "[0-9A-Za-z]+"
 
 
-def words(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+_UPPER, _LOWER = ALPHABET[11:], ALPHABET[11:].lower()
+
+
+def _bordered(text: Column) -> Column:
+    """Words in upper case with a dot on either side; whatever separates them is one dot."""
+    plain = F.translate(F.regexp_replace(text, "[^0-9A-Za-z]+", "."), _LOWER, _UPPER)
+    return F.concat(F.lit("."), plain, F.lit("."))
+
+
+def _found(text: Column, pattern: str) -> Column:
+    """The distinct matches of a pattern at all places, overlapping ones too, in one pass."""
+    return F.array_distinct(F.regexp_extract_all(_bordered(text), F.lit(f"(?=({pattern}))"), F.lit(1)))
 
 
 def word_grams(text: Column) -> Column:
     """The distinct grams of all words, borders included, as strings."""
-    of = lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.substring(F.concat(F.lit("."), F.upper(w), F.lit(".")), i, 3))
-    return F.array_distinct(F.flatten(F.transform(words(text), of)))
+    return _found(text, ".[0-9A-Z].")
 
 
 def partial_grams(text: Column) -> Column:
     """The distinct grams inside words; words of fewer than three characters have none."""
-    long = F.filter(words(text), lambda w: F.length(w) >= 3)
-    of = lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: F.substring(F.upper(w), i, 3))
-    return F.array_distinct(F.flatten(F.transform(long, of)))
+    return _found(text, "[0-9A-Z]{3}")
 
 
 def _digit(char: Column) -> Column:

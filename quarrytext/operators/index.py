@@ -1,8 +1,15 @@
-"""The index: groups, chunks and gram postings as DataFrames, stored as versioned Parquet tables."""
+"""The index: groups, chunks and gram postings as DataFrames, stored as Parquet tables.
+
+A stored index is a list of versions.  A version has the groups as they are, and names the segments that
+hold its chunks, postings and gram counts.  Adding texts adds a segment, deleting changes the groups
+only; compaction writes one segment anew.  A version counts once its line is added to the list.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import cached_property
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +19,7 @@ from quarrytext.sources.chunkers import CHUNK, CHUNKERS
 
 GROUP = "gid bigint, group_name string, chunk_count bigint, last_changed timestamp, deleted boolean, org boolean"
 POSTING = "gram int, gid bigint, chunk_no bigint"
+COUNT = "gram int, chunks bigint"
 
 
 def postings_of(chunks: DataFrame) -> DataFrame:
@@ -20,13 +28,27 @@ def postings_of(chunks: DataFrame) -> DataFrame:
     return grams.select(gram_code(F.col("g")).alias("gram"), "gid", "chunk_no")
 
 
+class Stored(NamedTuple):
+    """Where chunks and postings lie already."""
+
+    path: str
+    segments: tuple[str, ...]
+
+
 @dataclass(frozen=True)
 class Index:
-    """``postings`` may be absent: searches then scan the chunks, with the same results."""
+    """``postings`` may be absent: searches then scan the chunks, with the same results.
+
+    ``grams`` are the stored counts per gram, which say whether postings are worth reading; ``added`` are
+    chunks and postings that the segments in ``stored`` do not have.
+    """
 
     groups: DataFrame
     chunks: DataFrame
     postings: DataFrame | None = None
+    grams: DataFrame | None = None
+    stored: Stored | None = None
+    added: tuple[tuple[DataFrame, DataFrame], ...] = ()
 
     @staticmethod
     def empty(spark: SparkSession) -> "Index":
@@ -46,24 +68,50 @@ class Index:
     def live(self) -> DataFrame:
         return self.groups.filter("NOT deleted")
 
+    @cached_property
+    def counts(self) -> dict[int, int] | None:
+        """In how many chunks each gram is (there are 37 ** 3 grams at most); None if that is not stored."""
+        if self.grams is None:
+            return None
+        return {r["gram"]: r["chunks"] for r in self.grams.groupBy("gram").agg(F.sum("chunks").alias("chunks")).collect()}
+
+    @cached_property
+    def size(self) -> int:
+        """The number of chunks, those of deleted groups included."""
+        return self.groups.agg(F.coalesce(F.sum("chunk_count"), F.lit(0))).first()[0]
+
     def with_postings(self) -> "Index":
         return self if self.postings is not None else replace(self, postings=postings_of(self.chunks))
 
+    def regrouped(self, groups: DataFrame) -> "Index":
+        """With other groups; chunks and postings stay."""
+        return replace(self, groups=groups)
+
+    def adding(self, groups: DataFrame, chunks: DataFrame, postings: DataFrame) -> "Index":
+        """With other groups, and more chunks and postings."""
+        own = self.with_postings()
+        return replace(own, groups=groups, chunks=own.chunks.unionByName(chunks), postings=own.postings.unionByName(postings), grams=None, added=(*own.added, (chunks, postings)))
+
     def save(self, path: str) -> int:
-        """Write a new version; it counts only once its number is added to the list of versions.
+        """Write a new version: the groups, and what no segment at ``path`` has yet.
 
-        Postings are range-partitioned and sorted by gram, so that a search reads few row groups.
+        Postings are range-partitioned and sorted by gram (a frequent gram is cut by group), so that a
+        search reads few row groups.
         """
         spark = self.groups.sparkSession
         version = (current_version(spark, path) or 0) + 1
-        at = f"{path}/v{version}"
-        full = self.with_postings()
-        full.groups.write.mode("overwrite").parquet(f"{at}/groups")
-        full.chunks.write.mode("overwrite").parquet(f"{at}/chunks")
-        stored = spark.read.parquet(f"{at}/chunks") if self.postings is None else None
-        rows = postings_of(stored) if stored is not None else full.postings
-        rows.repartitionByRange("gram").sortWithinPartitions("gram", "gid", "chunk_no").write.mode("overwrite").parquet(f"{at}/postings")
-        spark.createDataFrame([(version,)], "version int").coalesce(1).write.mode("append").parquet(f"{path}/versions")
+        known = self.stored is not None and self.stored.path == path
+        segments = list(self.stored.segments) if known else []
+        self.groups.write.mode("overwrite").parquet(f"{path}/v{version}/groups")
+        for k, (chunks, postings) in enumerate(self.added if known else [(self.chunks, self.postings)]):
+            at = f"v{version}/{k}"
+            chunks.write.mode("overwrite").parquet(f"{path}/{at}/chunks")
+            rows = postings if postings is not None else postings_of(spark.read.schema(CHUNK).parquet(f"{path}/{at}/chunks"))
+            rows.repartitionByRange("gram", "gid").sortWithinPartitions("gram", "gid", "chunk_no").write.mode("overwrite").parquet(f"{path}/{at}/postings")
+            listed = spark.read.schema(POSTING).parquet(f"{path}/{at}/postings")
+            listed.groupBy("gram").agg(F.count("*").alias("chunks")).coalesce(1).write.mode("overwrite").parquet(f"{path}/{at}/grams")
+            segments.append(at)
+        spark.createDataFrame([(version, segments)], _VERSION).coalesce(1).write.mode("append").parquet(f"{path}/versions")
         return version
 
     @staticmethod
@@ -71,8 +119,10 @@ class Index:
         version = version or current_version(spark, path)
         if version is None:
             raise FileNotFoundError(f"no index at {path}")
-        at = f"{path}/v{version}"
-        return Index(*(spark.read.schema(s).parquet(f"{at}/{t}") for t, s in (("groups", GROUP), ("chunks", CHUNK), ("postings", POSTING))))
+        segments = tuple(_versions(spark, path).filter(F.col("version") == version).first()["segments"])
+        table = lambda name, schema: spark.read.schema(schema).parquet(*[f"{path}/{s}/{name}" for s in segments])
+        groups = spark.read.schema(GROUP).parquet(f"{path}/v{version}/groups")
+        return Index(groups, table("chunks", CHUNK), table("postings", POSTING), table("grams", COUNT), Stored(path, segments))
 
     @staticmethod
     def open_or_create(spark: SparkSession, path: str) -> "Index":
@@ -82,12 +132,36 @@ class Index:
         return Index.load(spark, path)
 
 
+_VERSION = "version int, segments array<string>"
+
+
+def _versions(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(_VERSION).parquet(f"{path}/versions")
+
+
 def current_version(spark: SparkSession, path: str) -> int | None:
     from pyspark.errors import AnalysisException
 
     try:
-        return spark.read.schema("version int").parquet(f"{path}/versions").agg(F.max("version")).first()[0]
+        return _versions(spark, path).agg(F.max("version")).first()[0]
     except AnalysisException as error:
         if "PATH_NOT_FOUND" in str(error):
             return None
         raise
+
+
+def vacuum(spark: SparkSession, path: str) -> None:
+    """Delete the files of all versions but the current one."""
+    version = current_version(spark, path)
+    if version is None:
+        return
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    keep = {f"v{version}/groups", *Index.load(spark, path).stored.segments}
+    top = jvm.org.apache.hadoop.fs.Path(path)
+    files = top.getFileSystem(conf)
+    for folder in files.listStatus(top):
+        name = folder.getPath().getName()
+        if name != "versions":
+            for inner in files.listStatus(folder.getPath()):
+                if f"{name}/{inner.getPath().getName()}" not in keep:
+                    files.delete(inner.getPath(), True)

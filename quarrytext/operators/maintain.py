@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,33 +13,31 @@ from quarrytext.sources.chunkers import CHUNK
 from quarrytext.sources.tables import written
 
 
-def _gid(name, version) -> F.Column:
-    """An id of a group's version; every version of a name has its own."""
-    return F.xxhash64(name, version)
+def _gid(name) -> F.Column:
+    """A new id for a group.  No id is used again, so what belongs to a deleted group stays apart from
+    what comes later under the same name and time."""
+    return F.xxhash64(name, F.lit(uuid.uuid4().hex))
 
 
 def put(index: Index, texts: DataFrame, chunker: str = "lines", **options) -> Index:
     """Index ``texts(group_name, last_changed, text)``: skip equal times, replace changed groups."""
-    index = index.with_postings()
     live = index.live.select("group_name", F.col("gid").alias("old"), F.col("last_changed").alias("old_changed"))
     met = texts.join(live, "group_name", "left").filter("old IS NULL OR old_changed IS NULL OR last_changed IS NULL OR old_changed <> last_changed")
-    version = F.coalesce(F.col("last_changed").cast("string"), F.col("old").cast("string"), F.lit(""))
     # Written, for it is used often below and the plan would double with every call.
-    new = written(met.select(_gid(F.col("group_name"), version).alias("gid"), "group_name", "last_changed", "text", "old"), "new")
+    new = written(met.select(_gid(F.col("group_name")).alias("gid"), "group_name", "last_changed", "text", "old"), "new")
     made = Index.build(new.select("gid", "group_name", "last_changed", "text"), chunker, **options)
     replaced = new.filter("old IS NOT NULL").select(F.col("old").alias("gid"), F.lit(True).alias("__old"))
     marked = index.groups.join(replaced, "gid", "left").withColumn("deleted", F.col("deleted") | F.coalesce("__old", F.lit(False)))
     groups = written(marked.select(*index.groups.columns).unionByName(made.groups.select(*index.groups.columns)), "groups")
-    return Index(groups, index.chunks.unionByName(made.chunks), index.postings.unionByName(made.postings))
+    return index.adding(groups, made.chunks, made.postings)
 
 
 def add_chunk(index: Index, group: str, grams: list[str], data: bytes | None = None, form: str = "text") -> Index:
     """Append one chunk of opaque ``data`` with the given grams; its group is made if absent."""
-    index = index.with_postings()
     spark = index.groups.sparkSession
     found = index.live.filter(F.col("group_name") == group).first()
     if found is None:
-        gid = spark.range(1).select(_gid(F.lit(group), F.lit("custom"))).first()[0]
+        gid = spark.range(1).select(_gid(F.lit(group))).first()[0]
         count, groups = 0, index.groups
         changed, org = None, False
     else:
@@ -47,7 +47,7 @@ def add_chunk(index: Index, group: str, grams: list[str], data: bytes | None = N
     group_row = spark.createDataFrame([(gid, group, count + 1, changed, False, org)], GROUP)
     chunk = spark.createDataFrame([(gid, count + 1, None, None, None, None, None, "CUSTOM", len(codes), None, data)], CHUNK)
     posted = spark.createDataFrame([(c, gid, count + 1) for c in codes], POSTING)
-    return Index(groups.unionByName(group_row), index.chunks.unionByName(chunk), index.postings.unionByName(posted))
+    return index.adding(groups.unionByName(group_row), chunk, posted)
 
 
 def chunk_data(index: Index, group: str) -> DataFrame:
@@ -58,17 +58,17 @@ def chunk_data(index: Index, group: str) -> DataFrame:
 def add_empty(index: Index, names: DataFrame) -> Index:
     """Make groups without chunks for ``names(group_name)`` that have no live group yet."""
     new = names.select("group_name").distinct().join(index.live.select("group_name"), "group_name", "left_anti")
-    rows = new.select(_gid(F.col("group_name"), F.lit("empty")).alias("gid"), "group_name", F.lit(0).cast("bigint").alias("chunk_count"), F.lit(None).cast("timestamp").alias("last_changed"), F.lit(False).alias("deleted"), F.lit(False).alias("org"))
-    return Index(index.groups.unionByName(rows), index.chunks, index.postings)
+    rows = new.select(_gid(F.col("group_name")).alias("gid"), "group_name", F.lit(0).cast("bigint").alias("chunk_count"), F.lit(None).cast("timestamp").alias("last_changed"), F.lit(False).alias("deleted"), F.lit(False).alias("org"))
+    return index.regrouped(index.groups.unionByName(rows))
 
 
 def delete(index: Index, condition: F.Column) -> Index:
     """Mark the live groups that meet ``condition`` as deleted; their chunks stay until :func:`compact`."""
-    return Index(index.groups.withColumn("deleted", F.col("deleted") | F.coalesce(condition, F.lit(False))), index.chunks, index.postings)
+    return index.regrouped(index.groups.withColumn("deleted", F.col("deleted") | F.coalesce(condition, F.lit(False))))
 
 
 def compact(index: Index) -> Index:
-    """Remove deleted groups, their chunks and postings."""
+    """Remove deleted groups, their chunks and postings; saving the result writes one segment anew."""
     gone = index.groups.filter("deleted").select("gid")
     left = lambda t: t.join(gone, "gid", "left_anti")
     return Index(index.groups.filter("NOT deleted"), left(index.chunks), None if index.postings is None else left(index.postings))
@@ -90,7 +90,7 @@ def update(index: Index, texts: DataFrame) -> Index:
     plan = written(update_plan(index.groups, texts.select("group_name", "last_changed")), "plan")
     gone = plan.filter("action = 'delete'").select("group_name", F.lit(True).alias("__gone"))
     marked = index.groups.join(gone, "group_name", "left").withColumn("deleted", F.col("deleted") | F.coalesce("__gone", F.lit(False)))
-    index = Index(written(marked.select(*index.groups.columns), "groups"), index.chunks, index.postings)
+    index = index.regrouped(written(marked.select(*index.groups.columns), "groups"))
     for chunker, org in (("lines", False), ("org", True)):
         again = plan.filter((F.col("action") == "input") & (F.col("org") == org)).select("group_name").distinct()
         if again.limit(1).count():
@@ -104,4 +104,9 @@ def maintain(index: Index, texts: DataFrame) -> Index:
 
 
 def rebuild_postings(index: Index) -> Index:
-    return Index(index.groups, index.chunks, postings_of(index.chunks))
+    """With postings worked out anew from the texts; those of custom chunks are kept."""
+    made = postings_of(index.chunks)
+    if index.postings is not None:
+        custom = index.chunks.filter("text IS NULL").select("gid", "chunk_no")
+        made = made.unionByName(index.postings.join(custom, ["gid", "chunk_no"], "left_semi").select("gram", "gid", "chunk_no"))
+    return Index(index.groups, index.chunks, made)

@@ -73,7 +73,61 @@ def fresh(index: Index, states: DataFrame, on_stale: str = "error") -> Index:
         if first is not None:
             raise (MissingGroupError if first["gone"] else StaleGroupError)(first["group_name"])
         return index
-    return Index(index.groups.join(stale, "gid", "left_anti"), index.chunks, index.postings)
+    return index.regrouped(index.groups.join(stale, "gid", "left_anti"))
+
+
+COMMON = 0.05  # share of all chunks from which on a gram's postings are not worth reading
+LISTED = 2_000  # postings up to which the groups are named in the scan's filter
+JOINED = 1_000_000  # postings up to which they are broadcast (16 bytes each)
+
+
+def _pruned(index: Index, chunks: DataFrame, codes: list[int]) -> DataFrame:
+    """``chunks`` without most of those that lack a gram; the text check decides about the others.
+
+    With stored counts, only the rarest gram's postings are read: few name the groups in the scan's
+    filter, more are broadcast, very many are joined by a shuffle, and a common gram prunes nothing, for then a
+    scan is cheaper.  Without counts all grams' postings are intersected.
+    """
+    if index.counts is None:
+        return chunks.join(_holding(index, codes).filter(F.col("n") == len(codes)), ["gid", "chunk_no"], "left_semi")
+    rare = min(codes, key=lambda c: (index.counts.get(c, 0), c))
+    n = index.counts.get(rare, 0)
+    if n > COMMON * index.size:
+        return chunks
+    held = index.postings.filter(F.col("gram") == rare).select("gid", "chunk_no")
+    return _joined(chunks, held, n)
+
+
+def _joined(chunks: DataFrame, held: DataFrame, n: int) -> DataFrame:
+    """The chunks named in ``held(gid, chunk_no)``, which has ``n`` rows at most."""
+    if n <= LISTED:
+        rows = [tuple(r) for r in held.collect()]
+        held = chunks.sparkSession.createDataFrame(rows, "gid bigint, chunk_no bigint")
+        chunks = chunks.filter(F.col("gid").isin(sorted({g for g, _ in rows})) if rows else F.lit(False))
+    return chunks.join(F.broadcast(held) if n <= JOINED else held, ["gid", "chunk_no"], "left_semi")
+
+
+def _term_chunks(index: Index, args: list[str], partial: bool) -> tuple[DataFrame, int] | None:
+    """``(gid, chunk_no)`` of the chunks that may hold a term, in groups that may hold all terms, and how
+    many there are at most; None if a scan is cheaper or a term has no gram.
+
+    A table of the grams' terms meets the postings; per chunk and term the grams met are counted.
+    """
+    grams = [[G.code_of(g) for g in G.query_grams([a], partial)] for a in args]
+    if not all(grams):
+        return None
+    n = 0
+    if index.counts is not None:
+        grams = [[min(own, key=lambda c: (index.counts.get(c, 0), c))] for own in grams]
+        n = sum(index.counts.get(own[0], 0) for own in grams)
+        if n > COMMON * index.size:
+            return None
+    terms = index.groups.sparkSession.createDataFrame([(c, k, len(own)) for k, own in enumerate(grams) for c in own], "gram int, arg int, total int")
+    listed = sorted({c for own in grams for c in own})
+    met = index.postings.filter(F.col("gram").isin(listed)).join(F.broadcast(terms), "gram").groupBy("gid", "chunk_no", "arg").agg(F.count("*").alias("n"), F.first("total").alias("total"))
+    whole = met.filter("n = total").select("gid", "chunk_no", "arg")
+    groups = whole.groupBy("gid").agg(F.count_distinct("arg").alias("args")).filter(F.col("args") == len(args)).select("gid")
+    return whole.join(groups, "gid", "left_semi").select("gid", "chunk_no").distinct(), n if index.counts is not None else JOINED + 1
 
 
 def search(index: Index, args: list[str], partial: bool = False, pattern: str | None = None, limit: int | None = None, use_index: bool = True) -> DataFrame:
@@ -89,8 +143,7 @@ def search(index: Index, args: list[str], partial: bool = False, pattern: str |
     if not codes:
         chunks = chunks.filter("false")
     elif use_index and index.postings is not None:
-        held = _holding(index, codes).filter(F.col("n") == len(codes))
-        chunks = chunks.join(held, ["gid", "chunk_no"], "left_semi")
+        chunks = _pruned(index, chunks, codes)
     text = F.col("text")
     places = [match_offset(text, a, partial) for a in args]
     for place in places:
@@ -138,15 +191,18 @@ def fuzzy(index: Index, args: list[str], percent: float, pattern: str | None = N
     return _named(index, found).select("group_name", "gid", "chunk_no", "line", "start", "offset", "percent", "text")
 
 
-def file_search(index: Index, args: list[str], partial: bool = False) -> DataFrame:
+def file_search(index: Index, args: list[str], partial: bool = False, use_index: bool = True) -> DataFrame:
     """One row per group in which every term occurs, if in different chunks: its first matching chunk.
 
-    First is by start, then offset; the columns are those of :func:`search`.
+    First is by start, then offset; the columns are those of :func:`search`.  The index prunes chunks and
+    groups; the texts decide.
     """
     args = _check(args)
     chunks = index.chunks.filter("text IS NOT NULL")
     if not G.query_grams(args, partial):
         chunks = chunks.filter("false")
+    elif use_index and index.postings is not None and (held := _term_chunks(index, args, partial)):
+        chunks = _joined(chunks, *held)
     places = F.array(*[match_offset(F.col("text"), a, partial) for a in args])
     hits = chunks.select("gid", "chunk_no", "line", F.col("rune_off").alias("start"), "text", F.posexplode(places).alias("arg", "offset")).filter("offset IS NOT NULL")
     firsts = hits.groupBy("gid").agg(F.count_distinct("arg").alias("args"), F.min(F.struct("start", "offset", "chunk_no", "line", "text")).alias("first"))

@@ -25,20 +25,36 @@ def coverage(index: Index) -> DataFrame:
     return one.select(F.inline(F.array(*pairs)))
 
 
+def _one_row(*parts: DataFrame) -> DataFrame:
+    """Tables of one row each, side by side, without a join."""
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out.agg(*[F.max(c).alias(c) for c in out.columns])
+
+
 def posting_sizes(index: Index) -> DataFrame:
-    """One row: grams, postings, the shortest and the longest list, and the bytes of chunk texts."""
+    """One row: grams, postings, the shortest and the longest list, and the bytes of chunk texts, of gram
+    lists (16 bytes a posting and 4 a gram) and of both."""
     sizes = gram_df(index).agg(F.count("*").alias("grams"), F.coalesce(F.sum("chunks"), F.lit(0)).cast("bigint").alias("postings"), F.min("chunks").alias("shortest"), F.max("chunks").alias("longest"))
-    return sizes.join(index.chunks.agg(F.coalesce(F.sum("byte_len"), F.lit(0)).cast("bigint").alias("chunk_bytes")))
+    row = _one_row(sizes, index.chunks.agg(F.coalesce(F.sum("byte_len"), F.lit(0)).cast("bigint").alias("chunk_bytes")))
+    gram_bytes = F.col("postings") * 16 + F.col("grams") * 4
+    return row.withColumns({"gram_bytes": gram_bytes, "total_bytes": F.col("chunk_bytes") + gram_bytes})
 
 
 def totals(index: Index, states: DataFrame | None = None) -> DataFrame:
     """One row: names, groups, deleted and stale groups, chunks, chunks of deleted groups, grams."""
     groups = index.groups.agg(F.count_distinct(F.when(~F.col("deleted"), F.col("group_name"))).alias("names"), F.count("*").alias("groups"), F.count_if("deleted").alias("deleted_groups"))
+    bad = stale_groups(index, states) if states is not None else index.groups.limit(0)
     dead = index.groups.filter("deleted").select("gid", F.lit(True).alias("dead"))
     chunks = index.chunks.select("gid").join(dead, "gid", "left").agg(F.count("*").alias("chunks"), F.count("dead").alias("deleted_chunks"))
     grams = index.with_postings().postings.agg(F.count_distinct("gram").alias("grams"))
-    bad = stale_groups(index, states).agg(F.count("*").alias("stale_groups")) if states is not None else index.groups.limit(0).agg(F.count("*").alias("stale_groups"))
-    return groups.join(bad).join(chunks).join(grams)
+    return _one_row(groups, bad.agg(F.count("*").alias("stale_groups")), chunks, grams)
+
+
+def file_list(index: Index) -> DataFrame:
+    """``(group_name, folded)`` of live groups, in the order of their names in lower case."""
+    return index.live.select("group_name", F.lower("group_name").alias("folded")).orderBy("folded", "group_name")
 
 
 def group_status(index: Index, states: DataFrame | None = None) -> DataFrame:

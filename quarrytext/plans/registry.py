@@ -5,16 +5,18 @@ A document is a group and a line is a chunk; group names are the ids as text.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrytext.functions import grams as G
-from quarrytext.functions import output
+from quarrytext.functions import output, sql
 from quarrytext.operators import maintain, search, stats
 from quarrytext.operators.index import Index
-from quarrytext.sources.chunkers import line_chunks, org_chunks
+from quarrytext.sources.chunkers import line_chunks, line_kind, org_chunks
+from quarrytext.sources.tables import shared_folder, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -130,7 +132,7 @@ def gram_coverage(spark, sf_dir):
     return stats.coverage(index(spark, sf_dir))
 
 
-@query("posting_sizes", _GRAMS + ", d AS (SELECT gram, count(*) AS n FROM postings GROUP BY gram)\nSELECT count(*) AS grams, CAST(sum(n) AS BIGINT) AS postings, min(n) AS shortest, max(n) AS longest, (SELECT CAST(sum(strlen(line) + 1) AS BIGINT) FROM chunks) AS chunk_bytes FROM d")
+@query("posting_sizes", _GRAMS + ", d AS (SELECT gram, count(*) AS n FROM postings GROUP BY gram)\nSELECT count(*) AS grams, CAST(sum(n) AS BIGINT) AS postings, min(n) AS shortest, max(n) AS longest, (SELECT CAST(sum(strlen(line) + 1) AS BIGINT) FROM chunks) AS chunk_bytes, CAST(sum(n) * 16 + count(*) * 4 AS BIGINT) AS gram_bytes, CAST(sum(n) * 16 + count(*) * 4 + (SELECT sum(strlen(line) + 1) FROM chunks) AS BIGINT) AS total_bytes FROM d")
 def posting_sizes(spark, sf_dir):
     return stats.posting_sizes(index(spark, sf_dir))
 
@@ -260,7 +262,8 @@ def fuzzy(spark, sf_dir):
 def fuzzy_sorted(spark, sf_dir):
     # Ranks come from the range-partitioned global sort: offsets of the partitions plus the place inside.
     found = search.ordered(search.fuzzy(index(spark, sf_dir, True), ["ther", "with"], 60), "worst")
-    placed = found.withColumn("part", F.spark_partition_id()).withColumn("seq", F.monotonically_increasing_id())
+    # They are written with the rows, so that nothing below depends on a second run of the sort.
+    placed = written(found.select("group_name", "line", "percent", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("seq")), "sorted")
     from pyspark.sql import Window as W
 
     inside = placed.withColumn("at", F.row_number().over(W.partitionBy("part").orderBy("seq")))
@@ -285,6 +288,55 @@ def file_search(spark, sf_dir):
     return search.file_search(index(spark, sf_dir), ["the", "with"]).select(*_SHOWN)
 
 
+@query("file_search_indexed", _file_sql(["the", "with"]))
+def file_search_indexed(spark, sf_dir):
+    return search.file_search(index(spark, sf_dir, True), ["the", "with"]).select(*_SHOWN)
+
+
+def stored(spark: SparkSession, sf_dir: str) -> Index:
+    """An index of the documents, saved and loaded again."""
+    path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    index(spark, sf_dir).save(path)
+    return Index.load(spark, path)
+
+
+@query("stored_search", _search_sql(["the", "with"]))
+def stored_search(spark, sf_dir):
+    return search.search(stored(spark, sf_dir), ["the", "with"]).select(*_SHOWN)
+
+
+@query("stored_search_rare", _search_sql(["idiot"]))
+def stored_search_rare(spark, sf_dir):
+    return search.search(stored(spark, sf_dir), ["idiot"]).select(*_SHOWN)
+
+
+@query("stored_file_search", _file_sql(["idiot", "clown"]))
+def stored_file_search(spark, sf_dir):
+    return search.file_search(stored(spark, sf_dir), ["idiot", "clown"]).select(*_SHOWN)
+
+
+@query("stored_fuzzy", _fuzzy_sql(["ther", "with"], 60, _FUZZY))
+def stored_fuzzy(spark, sf_dir):
+    return search.fuzzy(stored(spark, sf_dir), ["ther", "with"], 60).select(*_SHOWN, "percent")
+
+
+@query("sql_search", _search_sql(["that"], columns="CAST(doc_id AS VARCHAR) AS group_name, doc_id AS gid, line_no AS line, rune_off AS start, line AS text"))
+def sql_search(spark, sf_dir):
+    sql.register(spark, index(spark, sf_dir, True))
+    return spark.sql("SELECT group_name, gid, line, start, text FROM quarry_search('that')")
+
+
+@query("sql_grams", _GRAMS + f"\nSELECT doc_id AS gid, line_no AS line, {_code_sql('gram')} AS code, gram FROM postings")
+def sql_grams(spark, sf_dir):
+    sql.register(spark, index(spark, sf_dir))
+    return spark.sql("SELECT gid, line, gram_code(gram) AS code, gram_text(gram_code(gram)) AS gram FROM (SELECT gid, line, explode(grams) AS gram FROM (SELECT gid, line, word_grams(text) AS grams FROM quarry_chunks))")
+
+
+@query("file_list", "SELECT CAST(doc_id AS VARCHAR) AS group_name, lower(CAST(doc_id AS VARCHAR)) AS folded FROM documents WHERE doc_id % 10 <> 0")
+def file_list(spark, sf_dir):
+    return stats.file_list(maintain.delete(index(spark, sf_dir), F.col("gid") % 10 == 0))
+
+
 # Maintenance ------------------------------------------------------------------------------------------
 
 
@@ -308,6 +360,31 @@ def _timed(spark, sf_dir) -> tuple[Index, DataFrame]:
     return Index.build(docs, postings=False), now
 
 
+@query("delete_then_input", _search_sql(["the", "with"], columns='CAST(doc_id AS VARCHAR) AS group_name, line_no AS line, "offset"'))
+def delete_then_input(spark, sf_dir):
+    return search.search(_again(spark, sf_dir), ["the", "with"]).select("group_name", "line", "offset")
+
+
+@query("compact_after_reinput", _search_sql(["the", "with"], columns='CAST(doc_id AS VARCHAR) AS group_name, line_no AS line, "offset"'))
+def compact_after_reinput(spark, sf_dir):
+    return search.search(maintain.compact(_again(spark, sf_dir)), ["the", "with"]).select("group_name", "line", "offset")
+
+
+def _again(spark, sf_dir) -> Index:
+    """Every third file is input, deleted and input again with the same time."""
+    docs = documents(spark, sf_dir).select("group_name", F.expr(_OLD).alias("last_changed"), "text")
+    made = maintain.put(Index.empty(spark), docs)
+    return maintain.put(maintain.delete(made, F.col("group_name").cast("bigint") % 3 == 0), docs)
+
+
+@query("delete_then_chunk", "SELECT 'mine' AS group_name, CAST(1 AS BIGINT) AS chunk_no, '02' AS data")
+def delete_then_chunk(spark, sf_dir):
+    made = maintain.add_chunk(Index.empty(spark), "mine", ["ABC"], b"\x01")
+    made = maintain.add_chunk(maintain.delete(made, F.col("group_name") == "mine"), "mine", ["ABC"], b"\x02")
+    found = search.candidates(maintain.compact(made), grams=[G.code_of("ABC")])
+    return found.select("group_name", "chunk_no", F.lower(F.hex("data")).alias("data"))
+
+
 @query("update_plan", "SELECT CAST(doc_id AS VARCHAR) AS group_name, CASE WHEN doc_id % 7 = 0 THEN 'delete' ELSE 'input' END AS action, false AS org FROM documents WHERE doc_id % 7 = 0 OR doc_id % 3 = 0")
 def update_plan(spark, sf_dir):
     built, now = _timed(spark, sf_dir)
@@ -326,6 +403,12 @@ def stale_groups(spark, sf_dir):
     return stats.stale_groups(built, now).select("group_name", "status")
 
 
+@query("group_status", "SELECT CAST(doc_id AS VARCHAR) AS group_name, false AS org, CASE WHEN doc_id % 10 = 0 THEN 'DELETED' WHEN doc_id % 7 = 0 THEN 'NOT AVAILABLE' WHEN doc_id % 3 = 0 THEN 'CHANGED' ELSE '' END AS status FROM documents")
+def group_status(spark, sf_dir):
+    built, now = _timed(spark, sf_dir)
+    return stats.group_status(maintain.delete(built, F.col("gid") % 10 == 0), now)
+
+
 @query("search_skip_stale", _search_sql(["the", "with"], "AND doc_id % 7 <> 0 AND doc_id % 3 <> 0"))
 def search_skip_stale(spark, sf_dir):
     built, now = _timed(spark, sf_dir)
@@ -354,9 +437,15 @@ def chunk_data(spark, sf_dir):
 # Scalars ----------------------------------------------------------------------------------------------
 
 
-@query("ordered_varint")
+def _varint_sql(value: str) -> str:
+    forms = " ".join(f"WHEN v < {1 << (4 + 8 * more)} THEN '{0x7 + more:x}' || lpad(lower(hex(v)), {2 * more + 1}, '0')" for more in range(1, 8))
+    return f"SELECT doc_id AS gid, CASE WHEN v < 128 THEN lpad(lower(hex(v)), 2, '0') {forms} ELSE 'f0' || lpad(lower(hex(v)), 16, '0') END AS varint FROM (SELECT doc_id, {value} AS v FROM documents)"
+
+
+@query("ordered_varint", _varint_sql("CAST((doc_id + 1) * pow(2, doc_id % 46) AS BIGINT)"))
 def ordered_varint(spark, sf_dir):
-    return documents(spark, sf_dir).select("gid", output.varint_hex(F.abs(F.xxhash64("text").cast("decimal(20,0)"))).alias("varint"))
+    value = F.col("gid") + 1
+    return documents(spark, sf_dir).select("gid", output.varint_hex((value * F.pow(F.lit(2.0), F.pmod("gid", F.lit(46))).cast("bigint"))).alias("varint"))
 
 
 @query("highlight", _LINES + "\nSELECT doc_id AS gid, line_no AS line, regexp_replace(line, '(?i)(tion)', '[\\1]', 'g') AS text FROM chunks")
@@ -367,11 +456,61 @@ def highlight(spark, sf_dir):
 ORG_SAMPLE = "* Head one\nPara line a\npara line b\n\n- item a\n  continued\n- item b\n| a | b |\n#+TITLE: x\n:PROPERTIES:\n:ID: 1\n:END:\n#+begin_src sh\necho hi\n#+end_src\nafter text\n"
 
 
-@query("org_chunks")
+_GOLDEN = [
+    (1, "HEADLINE", "* Head one"),
+    (2, "PARAGRAPH", "Para line a\npara line b"),
+    (5, "LIST_ITEM", "- item a\n  continued"),
+    (7, "LIST_ITEM", "- item b"),
+    (8, "TABLE_LINE", "| a | b |"),
+    (9, "KEYWORD", "#+TITLE: x"),
+    (10, "DRAWER", ":PROPERTIES:\n:ID: 1\n:END:"),
+    (13, "BLOCK", "#+begin_src sh\necho hi\n#+end_src"),
+    (16, "PARAGRAPH", "after text"),
+]
+
+
+def _golden_sql() -> str:
+    rows = ", ".join(f"({line}, '{kind}', replace('{text}', '~', chr(10)))" for line, kind, text in ((n, k, t.replace("\n", "~")) for n, k, t in _GOLDEN))
+    sample = ORG_SAMPLE.replace("\n", "~")
+    return f"SELECT CAST(1 AS BIGINT) AS gid, CAST(l AS BIGINT) AS line, k AS elem_type, CAST(strpos(replace('{sample}', '~', chr(10)), t) - 1 AS BIGINT) AS rune_off, CAST(length(t) AS BIGINT) AS rune_len, t AS text FROM (VALUES {rows}) AS v(l, k, t)"
+
+
+@query("org_chunks", _golden_sql())
 def org_chunks_query(spark, sf_dir):
     return org_chunks(spark.createDataFrame([(1, ORG_SAMPLE)], "gid bigint, text string")).select("gid", "line", "elem_type", "rune_off", "rune_len", "text")
 
 
-@query("org_documents")
+_KIND_SQL = """CASE WHEN ltrim(line, ' ' || chr(9)) = '' THEN 'BLANK' WHEN starts_with(line, '*') THEN 'HEADLINE'
+  WHEN regexp_matches(line, '(?i)^[ \\t]*\\[fn:[^\\]]') THEN 'FOOTNOTE' WHEN regexp_matches(line, '^[ \\t]*-----') THEN 'HR'
+  WHEN regexp_matches(line, '(?i)^[ \\t]*:[a-z0-9_]+[ \\t]*:') THEN 'DRAWER'
+  WHEN regexp_matches(line, '(?s)^[ \\t]*#\\+.') THEN CASE WHEN regexp_matches(line, '(?i)^[ \\t]*#\\+begin_[a-z0-9_]+') THEN 'BLOCK'
+    WHEN regexp_matches(line, '(?i)^[ \\t]*#\\+begin:') THEN 'DYNBLOCK' WHEN regexp_matches(line, '^[ \\t]*#\\+[a-zA-Z0-9_]+:') THEN 'KEYWORD' ELSE 'PARAGRAPH' END
+  WHEN regexp_matches(line, '(?i)^[ \\t]*(?:[+-]|(?:[0-9]*|[a-z])\\.)(?:[ \\t]|\\z)') THEN 'LIST_ITEM'
+  WHEN regexp_matches(line, '^[ \\t]*(?:\\||\\+-)') THEN 'TABLE_LINE' ELSE 'PARAGRAPH' END"""
+#: What the lines are given in front, so that all kinds occur.
+_FRONTS = ["", "* ", "  - ", "| ", ":PROPERTIES:", "#+TITLE: ", " [fn:1] ", "-----", "#+begin_src ", "#+BEGIN: ", "1. ", "b. ", "   ", "# ", "#+", "+-", "+", " * "]
+
+
+@query("line_kinds", _LINES.replace("a[line_no] AS line,", f"[{', '.join(repr(f) for f in _FRONTS)}][line_no % {len(_FRONTS)} + 1] || a[line_no] AS line,") + f"\nSELECT doc_id AS gid, line_no AS line, {_KIND_SQL} AS kind FROM chunks")
+def line_kinds(spark, sf_dir):
+    front = F.element_at(F.array(*map(F.lit, _FRONTS)), (F.pmod("line", F.lit(len(_FRONTS))) + 1).cast("int"))
+    return line_chunks(documents(spark, sf_dir)).select("gid", "line", line_kind(F.concat(front, "text")).alias("kind"))
+
+
+# Lines in a row are paragraphs, other kinds stand alone; the documents open no block or drawer, and indent nothing.
+_ORG_SQL = f"""
+WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS a FROM documents),
+ c AS (SELECT doc_id, text, unnest(range(1, len(a) + 1)) AS n, a FROM l),
+ p AS (SELECT doc_id, text, n, a[n] AS line, CAST(coalesce(sum(length(a[n]) + 1) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS off FROM c),
+ k AS (SELECT *, {_KIND_SQL} AS kind FROM p),
+ i AS (SELECT *, CASE WHEN kind = 'PARAGRAPH' THEN n - row_number() OVER (PARTITION BY doc_id, kind ORDER BY n) ELSE -n END AS island FROM k WHERE kind <> 'BLANK'),
+ e AS (SELECT doc_id, kind, island, min(n) AS line, min(off) AS start, any_value(text) AS text, max(off + length(line)) AS stop FROM i GROUP BY ALL),
+ t AS (SELECT doc_id, line, kind, start, rtrim(substr(text, start + 1, stop - start), ' ' || chr(9) || chr(10)) AS piece FROM e),
+ w AS (SELECT *, unnest(regexp_extract_all(piece, '[0-9A-Za-z]+')) AS word FROM t),
+ g AS (SELECT DISTINCT doc_id, line, kind, start, piece, substr('.' || upper(word) || '.', q, 3) AS gram FROM (SELECT *, unnest(range(1, len(word) + 1)) AS q FROM w))
+SELECT doc_id AS gid, line, kind AS elem_type, start AS rune_off, CAST(length(piece) AS BIGINT) AS rune_len, CAST(count(*) AS INTEGER) AS gram_count FROM g GROUP BY ALL"""
+
+
+@query("org_documents", _ORG_SQL)
 def org_documents(spark, sf_dir):
     return org_chunks(documents(spark, sf_dir)).select("gid", "line", "elem_type", "rune_off", "rune_len", "gram_count")

@@ -5,8 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrytext.functions.grams import word_grams
@@ -14,29 +13,50 @@ from quarrytext.functions.grams import word_grams
 CHUNK = "gid bigint, chunk_no bigint, line bigint, rune_off bigint, rune_len bigint, byte_off bigint, byte_len bigint, elem_type string, gram_count int, text string, data binary"
 
 
+_BLOCK = 64  # lines whose lengths are summed at once
+
+
 def line_chunks(groups: DataFrame, keep_tail: bool = False) -> DataFrame:
     """One chunk per line of ``groups(gid, text)``; lines end at ``\\n`` only.
 
     A last line without an end is dropped unless ``keep_tail``.  Lengths include the end of line,
     offsets count from 0, ``text`` has no end of line.  A null text has no lines.
+
+    Offsets are worked out inside the row (sums of blocks of lines, then of the lines before in the
+    block), so chunking is a narrow step: nothing is shuffled, and filters on lines run in the scan's stage.
     """
-    parts = F.split("text", "\n", -1)
-    n = F.size(parts) - (F.when(F.element_at(parts, -1) == "", 1).otherwise(0) if keep_tail else F.lit(1))
-    lines = groups.filter("text IS NOT NULL").select("gid", F.size(parts).alias("n"), F.posexplode(F.slice(parts, 1, F.greatest(n, F.lit(0)))).alias("at", "text"))
-    ended = F.when(F.col("at") + 1 < F.col("n"), 1).otherwise(0)
-    sized = lines.select("gid", (F.col("at") + 1).cast("bigint").alias("line"), "text", (F.length("text") + ended).cast("bigint").alias("rune_len"), (F.octet_length("text") + ended).cast("bigint").alias("byte_len"))
-    before = W.partitionBy("gid").orderBy("line").rowsBetween(W.unboundedPreceding, -1)
-    return sized.select(
+    parts = F.col("parts")
+    kept = F.size(parts) - (F.when(F.element_at(parts, -1) == "", 1).otherwise(0) if keep_tail else F.lit(1))
+    split = groups.filter("text IS NOT NULL").select("gid", F.split("text", "\n", -1).alias("parts"))
+    ended = lambda i: F.when(i + 1 < F.size(parts), 1).otherwise(0)
+    sized = split.select("gid", "parts", F.transform(parts, lambda p, i: F.struct((F.length(p) + ended(i)).cast("bigint").alias("runes"), (F.octet_length(p) + ended(i)).cast("bigint").alias("bytes"))).alias("sizes"))
+    zero = F.struct(F.lit(0).cast("bigint").alias("runes"), F.lit(0).cast("bigint").alias("bytes"))
+    add = lambda a, x: F.struct((a["runes"] + x["runes"]).alias("runes"), (a["bytes"] + x["bytes"]).alias("bytes"))
+    block = lambda k: F.aggregate(F.slice("sizes", k * _BLOCK + 1, F.lit(_BLOCK)), zero, add)
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size("sizes") - 1) / _BLOCK).cast("int")), block)
+    begin = F.struct(F.array(zero).alias("starts"), zero.alias("last"))
+
+    def next_start(state, x):
+        total = add(state["last"], x)
+        return F.struct(F.array_append(state["starts"], total).alias("starts"), total.alias("last"))
+
+    # Two references each, so that the optimiser works these arrays out once a row and not once a line.
+    summed = sized.select("gid", "parts", "sizes", F.aggregate(blocks, begin, next_start, lambda state: state["starts"]).alias("starts"))
+    first = lambda i: F.when(F.size("starts") > 0, F.get("starts", F.floor(i / _BLOCK).cast("int")))
+    before = lambda i: F.aggregate(F.slice("sizes", i - F.pmod(i, F.lit(_BLOCK)) + 1, F.pmod(i, F.lit(_BLOCK))), first(i), add)
+    line = lambda p, i: F.struct((i + 1).cast("bigint").alias("line"), before(i).alias("at"), F.get("sizes", i).alias("size"), p.alias("text"))
+    lines = summed.select("gid", F.explode(F.slice(F.transform(parts, line), 1, F.greatest(kept, F.lit(0)))).alias("l"))
+    return lines.select(
         "gid",
-        F.col("line").alias("chunk_no"),
-        "line",
-        F.coalesce(F.sum("rune_len").over(before), F.lit(0).cast("bigint")).alias("rune_off"),
-        "rune_len",
-        F.coalesce(F.sum("byte_len").over(before), F.lit(0).cast("bigint")).alias("byte_off"),
-        "byte_len",
+        F.col("l.line").alias("chunk_no"),
+        "l.line",
+        F.col("l.at.runes").alias("rune_off"),
+        F.col("l.size.runes").alias("rune_len"),
+        F.col("l.at.bytes").alias("byte_off"),
+        F.col("l.size.bytes").alias("byte_len"),
         F.lit("LINE").alias("elem_type"),
-        F.size(word_grams(F.col("text"))).alias("gram_count"),
-        "text",
+        F.size(word_grams(F.col("l.text"))).alias("gram_count"),
+        "l.text",
         F.lit(None).cast("binary").alias("data"),
     )
 
@@ -78,6 +98,17 @@ def classify(line: str, strict: bool = False) -> tuple[str, str]:
     return ("TABLE_LINE" if TABLE.match(bare) else "PARAGRAPH"), ""
 
 
+def line_kind(line: Column) -> Column:
+    """The kind of a line as :func:`classify` gives it, as a column."""
+    bare = F.ltrim(F.translate(line, "\t", " "))
+    tabbed = F.regexp_replace(line, r"^[ \t]+", "")
+    like = lambda pattern: tabbed.rlike("^(?:" + pattern.pattern.replace("$", r"\z") + ")")
+    dashed = F.when(like(BLOCK), "BLOCK").when(like(DYNAMIC), "DYNBLOCK").when(like(KEYWORD), "KEYWORD").otherwise("PARAGRAPH")
+    rest = F.when(like(LIST_ITEM), "LIST_ITEM").when(like(TABLE), "TABLE_LINE").otherwise("PARAGRAPH")
+    first = F.when(bare == "", "BLANK").when(F.startswith(line, F.lit("*")), "HEADLINE").when(like(FOOTNOTE), "FOOTNOTE")
+    return first.when(F.startswith(tabbed, F.lit("-----")), "HR").when(like(DRAWER), "DRAWER").when(F.startswith(tabbed, F.lit("#+")) & (F.length(tabbed) > 2), dashed).otherwise(rest)
+
+
 def _indent(line: str) -> int:
     return len(line) - len(line.lstrip(" \t"))
 
