@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from quarrytext.functions import grams as G
 from quarrytext.functions import output
 from quarrytext.operators import maintain, search, stats
-from quarrytext.operators.index import Index, current_version
+from quarrytext.operators.index import Index, current_version, vacuum
 from quarrytext.sources.files import file_states, read_files
+from quarrytext.sources.tables import written
 
 #: Exit codes.
 NOTHING, MISSING, STALE, USAGE, NO_GROUP, NO_INDEX = 1, 2, 3, 1, 5, 6
@@ -36,7 +37,8 @@ def parser() -> argparse.ArgumentParser:
     command("data", ("--dx", flag), index, ("group", {}), help="print the data of a group's chunks")
     command("delete", index, ("group", {}), help="mark a group as deleted")
     command("empty", index, ("groups", {"nargs": "+"}), help="make groups without chunks")
-    command("compact", index, help="remove what is deleted")
+    command("compact", index, help="remove what is deleted, and all older versions")
+    command("files", index, help="print the names of all groups, in order whatever the case")
     command("update", (("-t", "--test"), flag), index, help="index changed files again, delete missing ones")
     command("grams", ("--gx", flag), ("--partial", flag), ("phrase", {}), help="print the grams of a phrase")
     command("info", ("--grams", flag), ("--groups", flag), ("--chunks", flag), index, ("group", {"nargs": "?"}), help="print statistics")
@@ -50,22 +52,28 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
-def _names(index: Index) -> list[str]:
-    return [r[0] for r in index.groups.filter("last_changed IS NOT NULL").select("group_name").distinct().collect()]
-
-
-def _present(spark: SparkSession, names: list[str]) -> list[str]:
-    """Those of the indexed files that can still be read."""
+def _states(spark: SparkSession, index: Index):
+    """``(group_name, last_changed)`` of the indexed files that are still there, from one listing of their
+    folders; only the folders' names come to the driver, and no contents are read."""
+    files = index.groups.filter("last_changed IS NOT NULL").select("group_name").distinct()
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    paths = [(n, jvm.org.apache.hadoop.fs.Path(n)) for n in names]
-    return [n for n, p in paths if p.getFileSystem(conf).exists(p)]
+    folders = [r[0] for r in files.select(F.regexp_replace("group_name", "/[^/]*$", "").alias("folder")).distinct().collect()]
+    paths = [(f or "/", jvm.org.apache.hadoop.fs.Path(f or "/")) for f in folders]
+    present = [f for f, p in paths if p.getFileSystem(conf).exists(p)]
+    if not present:
+        return spark.createDataFrame([], "group_name string, last_changed timestamp")
+    return file_states(spark, *present).join(files, "group_name", "left_semi")
 
 
-def _states(spark: SparkSession, index: Index, texts: bool = False):
-    found = _present(spark, _names(index))
-    if not found:
-        return spark.createDataFrame([], "group_name string, last_changed timestamp, text string")
-    return read_files(spark, *found) if texts else file_states(spark, *found)
+def _update(spark: SparkSession, index: Index) -> Index:
+    """Carry out the update plan; only files that changed are read."""
+    states = written(_states(spark, index), "states")
+    changed = [r[0] for r in maintain.update_plan(index.groups, states).filter("action = 'input'").select("group_name").distinct().collect()]
+    texts = states.withColumn("text", F.lit(None).cast("string"))
+    if changed:
+        read = read_files(spark, *changed).select("group_name", F.col("text").alias("read"))
+        texts = states.join(read, "group_name", "left").withColumnRenamed("read", "text")
+    return maintain.update(index, texts)
 
 
 def run(spark: SparkSession, argv: list[str], out=sys.stdout) -> int:
@@ -98,13 +106,16 @@ def run(spark: SparkSession, argv: list[str], out=sys.stdout) -> int:
         maintain.add_empty(index, spark.createDataFrame([(g,) for g in options.groups], "group_name string")).save(options.index)
     elif options.command == "compact":
         maintain.compact(index).save(options.index)
+        vacuum(spark, options.index)
     elif options.command == "update":
-        texts = _states(spark, index, True)
         if options.test:
-            for row in maintain.update_plan(index.groups, texts).orderBy("action", "group_name").collect():
+            for row in maintain.update_plan(index.groups, _states(spark, index)).orderBy("action", "group_name").collect():
                 say(f"{row['action']} {row['group_name']}")
         else:
-            maintain.update(index, texts).save(options.index)
+            _update(spark, index).save(options.index)
+    elif options.command == "files":
+        for row in stats.file_list(index).collect():
+            say(row["group_name"])
     elif options.command == "info":
         return _info(spark, index, options, say)
     elif options.command == "search":
@@ -142,7 +153,7 @@ def _search(spark, index, options, out) -> int:
         print("fuzzy and file searches do not go together", file=sys.stderr)
         return USAGE
     if options.update:
-        maintain.update(index, _states(spark, index, True)).save(options.index)
+        _update(spark, index).save(options.index)
         index = Index.load(spark, options.index)
     try:
         index = search.fresh(index, _states(spark, index), "skip" if options.force else "error")

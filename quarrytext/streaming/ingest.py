@@ -23,7 +23,8 @@ def watch_files(spark: SparkSession, folder: str) -> DataFrame:
 def upsert(spark: SparkSession, path: str, texts: DataFrame, chunker: str = "lines") -> int:
     """Put the latest version of each group of ``texts`` into the index stored at ``path``.
 
-    Running a batch again changes nothing: groups of equal times are skipped.
+    Running a batch again changes nothing: groups of equal times are skipped.  A batch writes its own
+    segment and the groups, not the whole index; compact now and then.
     """
     latest = texts.withColumn("__n", F.row_number().over(W.partitionBy("group_name").orderBy(F.desc("last_changed"), "text"))).filter("__n = 1").drop("__n")
     return maintain.put(Index.open_or_create(spark, path), latest, chunker).save(path)

@@ -165,6 +165,8 @@ def test_formats(spark):
     found = search.search(index, ["one"])
     assert output.formatted(found).first()["output"] == 'f:1:say \\"hi\\"\\\\\\tone'
     assert output.formatted(found, output.SEXP).first()["output"] == '(:filename "f" :line 1 :offset 10 :text "say \\"hi\\"\\\\\\tone" :char-offset 0 :percent 0.000000)'
+    odd = spark.createDataFrame([("a\x00\x1b\u00a0é\u200b\ufeff\U000e0001z",), ("plain é",)], "t string")
+    assert [r[0] for r in odd.select(output.escape(F.col("t"))).collect()] == ["a\\x00\\x1b\\u00a0é\\u200b\\ufeff\\U000e0001z", "plain é"]
     assert output.numbers(found).first()["output"] == "f:1"
     assert output.printed(output.numbers(found).collect(), "<%[6]s>\n", "</%[6]s>\n") == "<f>\nf:1\n</f>\n"
     assert output.split_terms('one "two three"') == ["one", "two three"]
@@ -203,6 +205,51 @@ def test_maintenance(spark, tmp_path):
     assert names(search.fresh(Index.load(spark, path, 1), later, "skip"), "one") == ["a"]
 
 
+def test_ids_are_not_used_again(spark):
+    make = lambda t: spark.createDataFrame([("a", t), ("b", "one\n")], "group_name string, text string").selectExpr("group_name", "timestamp '2024-01-01 00:00:00' last_changed", "text")
+    names = lambda i, **o: sorted(r["group_name"] for r in search.search(i, ["one"], **o).collect())
+    index = maintain.put(Index.empty(spark), make("one two\n"))
+    again = maintain.put(maintain.delete(index, F.col("group_name") == "a"), make("one two\n"))
+    for state in (again, maintain.compact(again)):
+        assert names(state) == names(state, use_index=False) == ["a", "b"]
+    assert maintain.compact(again).groups.count() == 2 and again.groups.count() == 3
+
+
+def test_segments(spark, tmp_path):
+    import os
+
+    from quarrytext.operators.index import vacuum
+
+    path = str(tmp_path / "index")
+    make = lambda *rows: spark.createDataFrame(rows, "group_name string, text string").selectExpr("group_name", "timestamp '2024-01-01 00:00:00' last_changed", "text")
+    names = lambda t: sorted(r["group_name"] for r in search.search(Index.load(spark, path), [t]).collect())
+    maintain.put(Index.empty(spark), make(("a", "one two\n" * 50), ("b", "rare\n"))).save(path)
+    maintain.put(Index.load(spark, path), make(("c", "one rare\n"))).save(path)
+    assert Index.load(spark, path).stored.segments == ("v1/0", "v2/0") and not os.path.exists(f"{path}/v2/1")
+    assert names("rare") == ["b", "c"] and names("one") == ["a"] * 50 + ["c"] and names("nowhere") == []
+    maintain.delete(Index.load(spark, path), F.col("group_name") == "b").save(path)
+    assert os.listdir(f"{path}/v3") == ["groups"] and names("rare") == ["c"]
+    assert [r["group_name"] for r in search.file_search(Index.load(spark, path), ["one", "rare"]).collect()] == ["c"]
+    maintain.compact(Index.load(spark, path)).save(path)
+    vacuum(spark, path)
+    assert sorted(os.listdir(path)) == ["v1", "v2", "v3", "v4", "versions"] and os.listdir(f"{path}/v1") == [] and names("rare") == ["c"]
+
+
+def test_long_texts_have_right_offsets(spark):
+    text = "".join(f"é{'x' * (k % 7)}\n" for k in range(1000))
+    rows = line_chunks(spark.createDataFrame([(1, text)], "gid bigint, text string")).orderBy("line").collect()
+    at = 0
+    for r in rows:
+        assert r["rune_off"] == at and r["byte_off"] == len(text[:at].encode())
+        at += r["rune_len"]
+    assert len(rows) == 1000 and at == len(text)
+
+
+def test_file_list(spark):
+    index = Index.build(texts(spark, ("b", "x\n"), ("A", "x\n"), ("a", "x\n"), ("C", "x\n")))
+    assert [r["group_name"] for r in stats.file_list(index).collect()] == ["A", "a", "b", "C"]
+
+
 def test_stream(spark, tmp_path):
     from quarrytext.streaming import ingest
 
@@ -239,6 +286,8 @@ def test_command_line(spark, tmp_path, capsys):
     assert "chunks: 6" in run("info", path)[1]
     assert run("info", path, "nothing")[0] == cli.NO_GROUP
     assert run("chunk", "--data", "01ff", "--dx", path, "mine", "abc,def") == (0, "")
+    assert run("files", path) == (0, f"{file}\nmine\n")
+    assert run("update", "-t", path) == (0, "") and run("update", path) == (0, "")
     assert run("data", "--dx", path, "mine") == (0, "01ff\n")
     assert run("delete", path, str(file)) == (0, "") and run("search", path, "one")[0] == cli.NOTHING
     assert run("compact", path) == (0, "") and "groups: 1" in run("info", path)[1]
