@@ -178,6 +178,25 @@ def test_slices_change_no_passage(spark, vocabulary, monkeypatch):
     assert whole and {tuple(r) for r in passages.find_passages(docs).collect()} == whole
 
 
+def test_pairs_passed_over_have_no_similar_part():
+    rng = np.random.default_rng(3)
+    passed = 0
+    for _ in range(700):
+        a = rng.integers(0, 400, 150).astype(np.uint16)
+        b = rng.integers(0, 400, 150).astype(np.uint16)
+        size, at, to = int(rng.integers(20, 110)), int(rng.integers(0, 40)), int(rng.integers(0, 40))
+        b[to : to + size] = np.where(rng.random(size) < rng.uniform(0.6, 1.0), a[at : at + size], b[to : to + size])
+        runs = passages.align(a, b, at, to)[0]
+        if not passages.may_match(a, b, 50, 0.8):
+            passed += 1
+            assert not passages.similar_parts(runs, 50, 0.8)
+        # The parts found are as long as any: against all pairs of runs.
+        wide = max((x2 + n2 - x1 for i, (x1, y1, _) in enumerate(runs) for j, (x2, y2, n2) in enumerate(runs[i:], i) if min(x2 + n2 - x1, y2 + n2 - y1) >= 50 and sum(r[2] for r in runs[i : j + 1]) >= 0.8 * max(x2 + n2 - x1, y2 + n2 - y1)), default=None)
+        found = passages.similar_parts(runs, 50, 0.8)
+        assert (found[0][1] - found[0][0] if found else None) == wide
+    assert passed > 50
+
+
 def covers(found, doc, words, run):
     """Whether the passages of ``doc`` cover most words of the run that it holds."""
     at = next(k for k in range(len(words)) if words[k : k + len(run)] == run)
