@@ -136,7 +136,9 @@ def _training_rows(docs: DataFrame, labels: DataFrame, chain: tuple[str, ...], l
     known = labels.filter(" AND ".join(["doc_id IS NOT NULL", *[f"`{c}` IS NOT NULL" for c in chain]]))
     one = known.groupBy("doc_id").agg(F.max(F.struct(*[(F.col(f"`{c}`") > 0).cast("int").alias(c) for c in chain])).alias("label"))
     some = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    met = docs.join(F.broadcast(some), "doc_id").select(F.col("doc_id").cast("string").alias("id"), "text", F.array(*[F.col(f"label.`{c}`") for c in chain]).alias("label"))
+    # An id that many rows share trains once, on its greatest text; copies fall together before the shuffle.
+    met = docs.join(F.broadcast(some), "doc_id").groupBy("doc_id", "label").agg(F.max("text").alias("text"))
+    met = met.select(F.col("doc_id").cast("string").alias("id"), "text", F.array(*[F.col(f"label.`{c}`") for c in chain]).alias("label"))
 
     def run(batches):
         for batch in batches:
@@ -169,11 +171,9 @@ def _training_rows(docs: DataFrame, labels: DataFrame, chain: tuple[str, ...], l
     flat, sizes = words.flatten().to_numpy(), words.value_lengths().to_numpy()
     labels_of = np.array(got.column("label").to_pylist(), float).reshape(len(sizes), len(chain))
     ids, starts = got.column("id").to_pylist(), np.cumsum(sizes, dtype=np.int64) - sizes
-    order: dict[str, int] = {}
-    for k in sorted(range(len(ids)), key=lambda k: (ids[k], sizes[k])):  # an id that occurs twice trains once
-        order.setdefault(ids[k], k)
-    parts = [flat[starts[k] : starts[k] + sizes[k]] for k in order.values()]
-    return list(order), np.concatenate(parts) if parts else np.zeros(0, np.int32), sizes[list(order.values())].astype(np.int64), labels_of[list(order.values())]
+    order = sorted(range(len(ids)), key=lambda k: ids[k])
+    parts = [flat[starts[k] : starts[k] + sizes[k]] for k in order]
+    return [ids[k] for k in order], np.concatenate(parts) if parts else np.zeros(0, np.int32), sizes[order].astype(np.int64), labels_of[order]
 
 
 def classify(docs: DataFrame, labels: DataFrame, chain: tuple[str, ...] = CHAIN, threshold: float = 0.5, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
