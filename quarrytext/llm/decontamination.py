@@ -9,7 +9,7 @@ the original text.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -64,6 +64,14 @@ class Scanner:
         return merged(spans), found
 
 
+    def occurs(self, words: list[bytes]) -> bool:
+        """Whether any window of an item occurs."""
+        if self._automaton is None or not words:
+            return False
+        number = self._numbers.get
+        return next(self._automaton.iter(tuple([number(w, 0) for w in words])), None) is not None
+
+
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans):
@@ -177,9 +185,24 @@ def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_bytes: int = MAX_BYTES) -> DataFrame:
     """The rows of ``docs`` without any hit word, with all their columns; other rules as in :func:`scan`."""
-    marked = docs.withColumn("__row", F.struct(*[F.col(f"`{c}`") for c in docs.columns])).select("__row", F.col(f"`{text_col}`").alias("text"))
-    found = scan(marked, benchmark, window, "__row", "text", item_col, item_text_col, max_bytes)
-    return found.filter("n_hit = 0").select("doc_id.*")
+    sc = docs.sparkSession.sparkContext
+
+    def clean(read):
+        shared, name = sc.broadcast(read()), uuid.uuid4().hex
+
+        def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            scanner = _scanner(name, shared.value, window)
+            for batch in texts:
+                # A few hundred texts at a time as Python strings.
+                found = [scanner.occurs(words_of(t)) for at in range(0, len(batch), 512) for t in batch.slice(at, 512).to_pylist()]
+                yield pa.array([not f for f in found], pa.bool_())
+
+        return F.arrow_udf(run, "boolean")
+
+    # Only the texts go to Python; the rows stay on the JVM side.
+    for read in _blocks(only(benchmark, item_id=item_col, text=item_text_col), max_bytes):
+        docs = docs.filter(clean(read)(F.col(f"`{text_col}`")))
+    return docs
 
 
 #: The same rows as ``contamination`` with default options, in DuckDB SQL.

@@ -38,3 +38,30 @@ def test_stages(spark, tmp_path):
     assert ids["SimHash near-dedup"] == ids["substring dedup"] == clean
     assert ids["benchmark decontamination"] == ids["packing"] == clean - {30}
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 79
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    rng = random.Random(4)
+    words = ["".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(3)) for _ in range(900)]
+    text = " ".join(rng.choice(words) for _ in range(120))
+    rows = [(1, text), (1, text), (2, None), (3, ""), (4, " \n\t"), (5, "word " * 30_000), (None, text + " more"), (6, text + " end"), (None, None)]
+    names = ["fp", "row", "spans", "h", "doc", "kept", "doc_id_2", "__id", "own", "words", "n_tokens", "bucket"]
+    odd = spark.createDataFrame([(*r, *[str(k)] * len(names), 7) for k, r in enumerate(rows)], "doc_id bigint, text string, " + ", ".join(f"{n} string" for n in names) + ", n_chars bigint")
+    spark.createDataFrame([(1, 1, 0), (None, 1, 0), (3, None, None)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, None), (None, "a b"), (2, "")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for docs in (odd, odd.filter("false")):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, str(tmp_path))
+            if name != "packing":
+                assert out.columns == docs.columns and dict(out.dtypes) == dict(docs.dtypes)
+            kept = sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in out.collect())
+            if docs is odd:  # every stage on all odd rows: what it may drop is known
+                assert kept == {
+                    "quality rules": [(False, 1), (False, 1), (False, 6), (True, 0)],
+                    "SimHash near-dedup": [(False, 1), (False, 2), (False, 5), (True, 0), (True, 0)],
+                    "substring dedup": [(False, 1), (False, 1), (False, 2), (False, 3), (False, 4), (False, 5), (False, 6), (True, 0), (True, 0)],
+                    "benchmark decontamination": sorted((r[0] is None, r[0] or 0) for r in rows),
+                    "packing": sorted((r[0] is None, r[0] or 0) for r in rows),
+                }[name], (name, kept)
+            else:
+                assert kept == []
