@@ -1,7 +1,8 @@
 """Licence scans by a trained paragraph classifier (operator 9).
 
 Native: DataFrame functions and JVM-side model fitting only.  A paragraph is a line or a run of up to
-``JOINED`` adjacent lines without a blank one between, since notices are wrapped.  A sparse multinomial
+``JOINED`` adjacent lines without a blank one between, since notices are wrapped; its first and last line
+have a feature that speaks for some family.  A sparse multinomial
 logistic regression over hashed words and word pairs, with an unknown class, scores every one of them:
 
 * First a bound: over the features of each line, the sum of the largest gain that any family has over
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SIZE = 1 << 16  # hashed features
+SIZE = 1 << 18  # hashed features
 JOINED = 6  # most adjacent lines that are joined
 CONFIRM = 0.75  # of a template's word pairs that a paragraph must hold
 
@@ -69,6 +70,10 @@ UNKNOWN = [
     "smoking is not permitted in this building", "cc the manager on the mail", "mix 5 cc of water", "version 2.0 of the plan was better", "version 3 of the map", "use of the pool is free of charge",
     "a copy of the letter was sent", "any person may enter", "the common attribution of the painting is wrong", "source and binary", "isc is a river", "the copyright law was changed", "copyright is a right of authors",
     "the authors of the book", "the mozilla office moved", "a license is required", "license fees went up", "licensed plumbers are rare", "licensed under the bar act", "the shop is licensed to sell wine", "released under the bridge", "released under pressure",
+    "this is the house by the river", "he came by train or by car with this friend", "they sat by the fire and this went on", "this or that and the other", "with or without sugar", "stand by me and by them", "written by hand by the poet",
+    "or else the other one came from the sea", "no one was there and no one came", "be it as it may", "to be or not to be", "it was as it is and was from there", "under this tree by the lake", "of this and of that with this",
+    "sie kam mit dem zug mit der tante", "er sprach mit ihr und mit ihm", "mit der zeit ging es mit ihm gut", "mit und ohne zucker", "und mit dem wind kam der regen", "la maison de la mer avec les enfants", "el perro de la casa con los gatos por la calle", "no hay nadie por la noche",
+    "10 0 20 0 30 numbers in a row 4 0", "in 2019 and 2020 there were 3 or 4 of this kind", "of or to and to the and the",
 ]
 
 
@@ -95,12 +100,6 @@ def _buckets(words: Column) -> tuple[Column, Column]:
     return single, F.transform(firsts, lambda w, i: _bucket(F.xxhash64(w, F.get(words, i + 1))))
 
 
-def _featured(frame: DataFrame) -> DataFrame:
-    """``frame(paragraph)`` with ``pairs`` and the distinct hashed features ``buckets``."""
-    worded = frame.withColumn("__w", words_of(F.col("paragraph")))
-    return worded.withColumns({"pairs": F.array_distinct(_pairs(F.col("__w"))), "buckets": F.array_distinct(F.concat(*_buckets(F.col("__w"))))}).drop("__w")
-
-
 def training_rows() -> list[tuple[str, str, bool]]:
     """(paragraph, family, held out) for every phrase in every frame, the notices, and unknown paragraphs."""
     rows = []
@@ -145,19 +144,24 @@ def _spread(model: Model, values: list) -> list:
     return table
 
 
+def _known(model: Model, words: Column) -> tuple[Column, Column]:
+    """The features that have any weight, by their number from 1: those of words, and those of pairs."""
+    used = [any(w[k] for w in model.weights) for k in range(len(model.features))]
+    place = _numbers(_spread(model, [k + 1 if use else 0 for k, use in enumerate(used)]), "int")
+    return tuple(F.filter(F.transform(part, lambda b: F.get(place, b)), lambda k: k > 0) for part in _buckets(words))
+
+
 def _scored(frame: DataFrame, model: Model) -> DataFrame:
-    """``frame(buckets)`` with ``family`` (``unknown`` included) and its probability ``p``."""
-    place = _numbers(_spread(model, list(range(1, len(model.features) + 1))), "int")
-    known = frame.withColumn("__known", F.filter(F.transform("buckets", lambda b: F.get(place, b)), lambda k: k > 0))
+    """``frame(known)``, distinct features, with ``family`` (``unknown`` included) and its probability ``p``."""
 
     def score(weights, bias):
         table = _numbers([round(w, 9) for w in weights], "double")
-        return F.aggregate("__known", F.lit(float(bias)), lambda a, k: a + F.get(table, k - 1))
+        return F.aggregate("known", F.lit(float(bias)), lambda a, k: a + F.get(table, k - 1))
 
     scores = [F.struct(score(w, b).alias("score"), F.lit(f).alias("family")) for f, w, b in zip(model.families, model.weights, model.bias)]
-    topped = known.withColumn("__scores", F.array(*scores)).withColumn("__top", F.array_max("__scores"))
+    topped = frame.withColumn("__scores", F.array(*scores)).withColumn("__top", F.array_max("__scores"))
     total = F.aggregate("__scores", F.lit(0.0), lambda a, s: a + F.exp(s["score"] - F.col("__top.score")))
-    return topped.withColumns({"family": F.col("__top.family"), "p": 1 / total}).drop("__known", "__scores", "__top")
+    return topped.withColumns({"family": F.col("__top.family"), "p": 1 / total}).drop("__scores", "__top")
 
 
 def train(spark: SparkSession) -> Model:
@@ -167,7 +171,8 @@ def train(spark: SparkSession) -> Model:
 
     families = ["unknown", *sorted(TEMPLATES)]
     rows = spark.createDataFrame([(text, float(families.index(f)), held) for text, f, held in training_rows()], "paragraph string, label double, held boolean").coalesce(1)
-    made = _featured(rows).cache()
+    worded = rows.withColumn("words", words_of(F.col("paragraph")))
+    made = worded.withColumn("buckets", F.array_distinct(F.concat(*_buckets(F.col("words"))))).cache()
     fit = made.filter("NOT held")
     features = sorted(r[0] for r in fit.select(F.explode("buckets")).distinct().collect())
     counted = CountVectorizerModel.from_vocabulary([str(k) for k in features], inputCol="names", outputCol="features", minTF=1.0)
@@ -177,7 +182,8 @@ def train(spark: SparkSession) -> Model:
     matrix = fitted.coefficientMatrix.toArray()
     model = Model(families, features, [[float(x) for x in r] for r in matrix], [float(x) for x in fitted.interceptVector.toArray()], 0.0)
     # The floor: above what any held-out unknown paragraph gives a family.
-    wrong = _scored(made.filter("held"), model).agg(F.max(F.when(F.col("family") != "unknown", F.col("p")))).first()[0]
+    held = made.filter("held").withColumn("known", F.array_distinct(F.concat(*_known(model, F.col("words")))))
+    wrong = _scored(held, model).agg(F.max(F.when(F.col("family") != "unknown", F.col("p")))).first()[0]
     made.unpersist()
     model.floor = min(0.9, max(0.5, float(wrong or 0.0)))
     return model
@@ -205,36 +211,47 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
     are the families that the classifier gives single lines without confirmation.  A null or empty
     text has no paragraphs.  Texts and lines of any length are read whole; repeated rows and null ids
     stay; an empty table gives an empty result; other columns are ignored, so none can clash.
-    ``bound=False`` works out the scores of all lines, with the same result.
+    ``bound=False`` works out the scores of all paragraphs, with the same result.
     """
     model = model or train(docs.sparkSession)
-    lines = F.split(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), "\n")
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("doc_id"), lines.alias("lines"))
-    # Every line's words, with the first of the next line's, so that the pair between them counts.
-    worded = rows.withColumn("words", F.transform("lines", words_of))
-    gain = _numbers([round(g, 9) for g in _spread(model, model.gains())], "double")
-
-    def gained(words, i):
-        after = F.coalesce(F.get(F.col("words"), i + 1), F.array().cast("array<string>"))
-        single, pair = _buckets(F.concat(words, F.slice(after, 1, 1)))
-        add = lambda total, b: total + F.get(gain, b)
-        return F.aggregate(pair, F.aggregate(single, F.lit(0.0), add), add)
-
-    gains = F.transform("words", gained) if bound else F.transform("words", lambda w: F.lit(1e6))
-    marked = worded.select("row", "doc_id", "lines", gains.alias("gains"), F.transform("lines", lambda p: p.rlike(r"[^\x20\x09-\x0D]")).alias("seen"))
-    counted = marked.withColumn("n_paragraphs", F.size(F.filter("seen", lambda s: s)).cast("bigint"))
-    # Runs that start at a line with some gain and whose gains may do; a blank line ends them.
-    starts = F.filter(F.transform("gains", lambda g, i: F.when((g > 0) & F.get("seen", i), i)), lambda i: i.isNotNull())
-    runs = F.flatten(F.transform("starts", lambda i: F.transform(F.sequence(F.lit(1), F.lit(JOINED)), lambda n: F.struct(i.alias("at"), n.alias("n")))))
-    whole = lambda r: F.forall(F.slice("seen", r["at"] + 1, r["n"]), lambda s: s) & (r["at"] + r["n"] <= F.size("lines"))
-    enough = lambda r: F.aggregate(F.slice("gains", r["at"] + 1, r["n"]), F.lit(0.0), lambda a, g: a + g) > model.least() - 1e-6
-    begun = counted.select("row", "doc_id", "n_paragraphs", "lines", "seen", "gains", starts.alias("starts"))
-    chosen = begun.select("row", "doc_id", "n_paragraphs", "lines", "seen", F.filter(F.filter(runs, enough), whole).alias("runs"))
-    part = lambda r: F.struct((r["n"] > 1).alias("wrapped"), F.size(F.filter(F.slice("seen", 1, r["at"]), lambda s: ~s)).alias("block"), F.array_join(F.slice("lines", r["at"] + 1, r["n"]), " ").alias("paragraph"))
-    spread = chosen.select("row", "doc_id", "n_paragraphs", F.explode_outer(F.transform("runs", part)).alias("p")).select("row", "doc_id", "n_paragraphs", "p.block", "p.wrapped", "p.paragraph")
-    scored = _scored(_featured(spread), model)
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    visible = lambda p: p.rlike(r"[^\x20\x09-\x0D]")
+    counted = F.size(F.filter(F.split(text, "\n"), visible)).cast("bigint")
+    blocks = F.split(text, r"\n[\x20\x09-\x0D]*\n")
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("doc_id"), counted.alias("n_paragraphs"), blocks.alias("blocks"))
+    rows = numbered.select("row", "doc_id", "n_paragraphs", F.posexplode("blocks").alias("block", "text"))
+    carried = ["row", "doc_id", "n_paragraphs", "block"]
+    # Of every line the features that have any weight, and apart from these the one of the pair over its end.
+    lined = rows.select(*carried, F.filter(F.split("text", "\n"), visible).alias("lines"))
+    worded = lined.withColumn("words", F.transform("lines", words_of))
+    own = lambda w: F.array_distinct(F.concat(*_known(model, w)))
+    first = lambda i: F.slice(F.coalesce(F.get("words", i), F.array().cast("array<string>")), 1, 1)
+    over = lambda w, i: _known(model, F.concat(F.slice(w, F.greatest(F.size(w), F.lit(1)), 1), first(i + 1)))[1]
+    known = F.transform("words", lambda w, i: F.struct(own(w).alias("own"), over(w, i).alias("over")))
+    featured = worded.select(*carried, "lines", known.alias("known"))
+    # What each line can gain at most; a run of lines is scored if the gains of its distinct features may do.
+    gain = _numbers([0.0, *[round(g, 9) for g in model.gains()]], "double")
+    gained = lambda features: F.aggregate(features, F.lit(0.0), lambda a, k: a + F.get(gain, k))
+    least = F.lit(model.least() - 1e-6 if bound else -1.0)
+    marked = featured.select(*carried, "lines", "known", F.transform("known", lambda k: gained(k["own"]) + gained(k["over"])).alias("gains"))
+    some = F.filter(F.transform("gains", lambda g, i: F.when(g > 0, i)), lambda i: i.isNotNull())
+    begun = marked.select(*carried, "lines", "known", "gains", some.alias("some"))
+    runs = F.flatten(F.transform("some", lambda i: F.transform(F.sequence(F.lit(1), F.lit(JOINED)), lambda n: F.struct(i.alias("at"), n.alias("n")))))
+    part = lambda c, r: F.slice(c, r["at"] + 1, r["n"])
+    enough = lambda r: F.aggregate(part("gains", r), F.lit(0.0), lambda a, g: a + g) > least
+    whole = lambda r: F.get("gains", r["at"] + r["n"] - 1) > 0
+    chosen = begun.select(*carried, "lines", "known", F.filter(F.filter(runs, whole), enough).alias("runs"))
+    inside = lambda r: F.flatten(F.transform(F.slice("known", r["at"] + 1, r["n"] - 1), lambda k: k["over"]))
+    features = lambda r: F.array_distinct(F.concat(F.flatten(F.transform(part("known", r), lambda k: k["own"])), inside(r)))
+    held = F.filter(F.transform("runs", lambda r: F.struct(r["at"].alias("at"), r["n"].alias("n"), features(r).alias("known"))), lambda r: gained(r["known"]) > least)
+    joined = F.transform(held, lambda r: F.struct((r["n"] > 1).alias("wrapped"), r["known"].alias("known"), F.array_join(part("lines", r), " ").alias("paragraph")))
+    spread = chosen.select(*carried, F.explode_outer(joined).alias("r")).select(*carried, "r.*")
+    scored = _scored(spread, model)
     predicted = F.col("paragraph").isNotNull() & (F.col("family") != "unknown") & (F.col("p") >= model.floor)
-    judged = scored.select("row", "doc_id", "n_paragraphs", "wrapped", "block", F.when(predicted, F.col("family")).alias("family"), _confirmed(F.col("pairs")).alias("sure"))
+    # Only the texts of predicted runs are looked at again.
+    shown = scored.select(*carried, "wrapped", F.when(predicted, F.col("family")).alias("family"), words_of(F.when(predicted, F.col("paragraph"))).alias("words"))
+    paired = shown.withColumn("pairs", F.array_distinct(_pairs(F.col("words"))))
+    judged = paired.select(*carried, "wrapped", "family", _confirmed(F.col("pairs")).alias("sure"))
     sure, plain = F.when(F.col("sure"), F.col("family")), ~F.col("wrapped")
     placed = F.when(sure.isNotNull(), F.struct("block", "family"))
     grouped = judged.groupBy("row").agg(

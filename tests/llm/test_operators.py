@@ -611,7 +611,7 @@ def test_wrapped_licenses(spark, license_model):
     ]
     out = {r["doc_id"]: r for r in licenses.scan(docs_of(spark, [r[:2] for r in rows]), model=license_model).collect()}
     assert [(k, out[k]["families"], out[k]["n_licence"]) for k, *_ in rows] == [(k, f, n) for k, _, f, n in rows]
-    assert out[1]["n_paragraphs"] == 4
+    assert out[1]["n_paragraphs"] == 4 and licenses.scan(docs_of(spark, [r[:2] for r in rows]), model=license_model).count() == len(rows)
 
 
 def test_held_out_license_paragraphs(spark, license_model):
