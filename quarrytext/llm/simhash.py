@@ -20,7 +20,6 @@ from quarrytext.llm.base import only, schema_of, written
 from quarrytext.llm.components import connected_components
 
 TILE = 16384
-BROADCAST_IDS = 500_000  # more documents that go are joined by a shuffle
 _BLOCK = 1 << 21  # pairs compared at once
 
 
@@ -161,7 +160,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     with repeats.  Fewer words make one shingle; none, an empty or a null text make fingerprint zero,
     which links like any other.  Fingerprints link at ``radius`` or fewer differing bits;
     ``component_id`` is the smallest id reachable over links.  Equal texts fall together before the
-    comparison, so copies are never paired.  Repeated rows stay; a null id takes its component's
+    comparison, so copies are never paired; each is then joined with its fingerprint's one row, where
+    adaptive execution splits a fingerprint that very many share.  Repeated rows stay; a null id takes its component's
     smallest id (null if there is none); an empty table gives an empty result; other columns are ignored.
     """
     fps = written(fingerprints(docs, id_col, text_col, words), "fingerprints")
@@ -180,17 +180,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     The row of the component's smallest id stays (of rows that share it, one of the smallest hash of all
     columns); rows with a null id stay all, for they can not be told apart.
     """
-    found = written(near_duplicates(docs, id_col, text_col, words, radius, tile), "near_duplicates")
-    per = found.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count_if(F.col("doc_id") == F.col("component_id")).alias("own"))
-    # The ids that go are far fewer than the texts: broadcast if they are few, else one shuffle.
-    gone = per.filter("own = 0").select("doc_id")
-    if gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        gone = F.broadcast(gone)
+    found = near_duplicates(docs, id_col, text_col, words, radius, tile).filter("doc_id IS NOT NULL")
+    per = found.groupBy(F.col("doc_id").alias("__id")).agg(F.count_if(F.col("doc_id") == F.col("component_id")).alias("own")).filter("own <> 1")
+    odd = written(per, "odd")  # ids that go, or that several rows share
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     keyed = docs.select(F.col(f"`{id_col}`").alias("__id"), row.alias("__row"))
-    met = keyed.join(gone, keyed["__id"] == gone["doc_id"], "left_anti")
-    many = per.filter("own > 1").select("doc_id")
-    if many.limit(1).count():
-        several = met.join(many, met["__id"] == many["doc_id"], "left_semi").groupBy("__id").agg(F.min_by("__row", F.xxhash64("__row")).alias("__row"))
-        met = met.join(many, met["__id"] == many["doc_id"], "left_anti").select("__id", "__row").union(several.select("__id", "__row"))
-    return met.select("__row.*")
+    # Always joined by a shuffle: one plan at every size.
+    plain = keyed.join(odd.select("__id").hint("merge"), "__id", "left_anti").select("__row")
+    several = keyed.join(odd.filter("own > 1").select("__id"), "__id", "left_semi").groupBy("__id").agg(F.min_by("__row", F.xxhash64("__row")).alias("__row"))
+    kept = plain if not odd.filter("own > 1").limit(1).count() else plain.union(several.select("__row"))
+    return kept.select("__row.*")
