@@ -220,6 +220,59 @@ def test_passage_that_earlier_documents_quote_in_pieces(spark, vocabulary, size,
     assert covers(found, 1001, texts[1001], run) and covers(found, 1002, texts[1002], fuzzy) and {r["doc_id"] for r in found} == {1001, 1002}
 
 
+def test_fuzzy_passages_that_many_earlier_documents_quote(spark, vocabulary):
+    rng = random.Random(47)
+    texts, planted = [], set()
+    own = lambda words, n=80: prose(rng, vocabulary, n) + words + prose(rng, vocabulary, n)
+    for holders in (4, 9):  # more earlier holders of every piece than any number of rounds tried
+        run = prose(rng, vocabulary, 90)
+        texts += [own(run[at : at + 16]) for at in range(0, 90, 8) for _ in range(holders)]
+        for kind in "wxyz":
+            texts.append(own([w if k % 9 else f"{kind}{k}" for k, w in enumerate(run)]))
+        planted |= {(a, b) for b in range(len(texts) - 4, len(texts)) for a in range(len(texts) - 4, b)}
+    found = passages.find_passages(docs_of(spark, [(k, " ".join(t)) for k, t in enumerate(texts)])).collect()
+    assert {(r["ref_doc_id"], r["doc_id"]) for r in found} == planted
+
+
+def test_links_are_not_lost_to_an_earlier_similar_document(spark, vocabulary):
+    rng = random.Random(53)
+    run = prose(rng, vocabulary, 80)
+    changed = lambda rest: [w if k % 10 not in rest else f"c{k}x{len(rest)}" for k, w in enumerate(run)]
+    # Each side is similar to the middle, the sides are not similar to each other.
+    one, two, middle = changed((0,)), changed((8, 9)), list(run)
+    texts = [prose(rng, vocabulary, 70) + w + prose(rng, vocabulary, 70) for w in (one, two, middle)]
+    found = passages.find_passages(docs_of(spark, [(k, " ".join(t)) for k, t in enumerate(texts)])).collect()
+    assert {(r["ref_doc_id"], r["doc_id"]) for r in found} == {(0, 2), (1, 2)}
+
+
+def test_pairs_that_are_not_compared_have_no_passage():
+    rng = np.random.default_rng(7)
+    kept = passed = 0
+    for turn in range(60):
+        seed, rows = rng.integers(0, 3000, 5), []
+        base = rng.integers(0, 3000, 400)
+        base[200:205] = seed
+        for _ in range(12):  # fuzzy copies of a part around the seed, words left out and put in
+            words, size = rng.integers(0, 3000, 400), [int(n) for n in rng.integers(0, 70, 2)]
+            part = base[200 - size[0] : 205 + size[1]]
+            part = np.where((rng.random(len(part)) < rng.uniform(0.6, 1.0)) | (np.abs(np.arange(len(part)) - size[0] - 2) < 3), part, rng.integers(0, 3000, len(part)))
+            at = 200
+            words[at - size[0] : at - size[0] + len(part)] = part
+            if size[1] > 20 and turn % 2:
+                words = np.delete(words, at + 5 + int(rng.integers(0, 20)))
+            rows.append(words.astype("<u2"))
+        i, j = passages.promising(np.zeros(12, np.int64), [w[:200].tobytes() for w in rows], [w[200:].tobytes() for w in rows], 50, 0.8, 5)
+        pairs = set(zip(i.tolist(), j.tolist()))
+        for a in range(12):
+            for b in range(a + 1, 12):
+                runs = passages.align(rows[a], rows[b], 200, 200)[0]
+                through = [p for p in passages.similar_parts(runs, 50, 0.8) if p[0] <= 200 and 205 <= p[1]]
+                kept += bool(through)
+                passed += (a, b) not in pairs
+                assert not through or (a, b) in pairs
+    assert kept > 100 and passed > 100
+
+
 def test_equal_runs_against_brute_force(spark, vocabulary):
     rng = random.Random(41)
     lines = [prose(rng, vocabulary, rng.choice([8, 15, 30, 45, 55, 70])) for _ in range(14)]
