@@ -245,6 +245,21 @@ def test_links_are_not_lost_to_an_earlier_similar_document(spark, vocabulary):
     assert {(r["ref_doc_id"], r["doc_id"]) for r in found} == {(0, 2), (1, 2)}
 
 
+def test_passages_with_few_seeds_are_cut(spark, vocabulary):
+    rng = random.Random(59)
+    texts, planted = [], []
+    own = lambda words, n=60: prose(rng, vocabulary, n) + words + prose(rng, vocabulary, n)
+    for _ in range(12):
+        run = prose(rng, vocabulary, 60)
+        # Equal words four by four but for twelve of them: one or two seeds, which an earlier document has too.
+        fuzzy = [w if k % 5 != 4 or 24 <= k < 36 else f"s{rng.random()}" for k, w in enumerate(run)]
+        texts += [own(run[20:40]), own(run), own(fuzzy)]
+        planted.append(len(texts) - 1)
+    cut = {r["doc_id"]: r["text"] for r in passages.remove_passages(docs_of(spark, [(k, " ".join(t)) for k, t in enumerate(texts)])).collect()}
+    assert [k for k, t in enumerate(texts) if len(cut[k].split()) < len(t) - 45] == planted
+    assert all(cut[k] == " ".join(t) for k, t in enumerate(texts) if k not in planted)
+
+
 def test_pairs_that_are_not_compared_have_no_passage():
     rng = np.random.default_rng(7)
     kept = passed = 0
