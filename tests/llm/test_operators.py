@@ -260,6 +260,21 @@ def test_passages_with_few_seeds_are_cut(spark, vocabulary):
     assert all(cut[k] == " ".join(t) for k, t in enumerate(texts) if k not in planted)
 
 
+def test_passages_beyond_words_that_equal_an_earlier_text(spark, vocabulary):
+    rng = random.Random(61)
+    texts, planted = [], set()
+    own = lambda words: prose(rng, vocabulary, 60) + words + prose(rng, vocabulary, 60)
+    for _ in range(16):
+        first, then = prose(rng, vocabulary, 60), prose(rng, vocabulary, 80)
+        # The later two share all their seeds in words that equal the first text's, which shares too few with the last.
+        texts += [own(first), own(first + then), own(first[30:] + [w if k % 5 != 4 else f"s{rng.random()}" for k, w in enumerate(then)])]
+        planted |= {(len(texts) - 3, len(texts) - 2), (len(texts) - 2, len(texts) - 1)}
+    docs = docs_of(spark, [(k, " ".join(t)) for k, t in enumerate(texts)])
+    assert {(r["ref_doc_id"], r["doc_id"]) for r in passages.find_passages(docs).collect()} == planted
+    cut = {r["doc_id"]: r["text"] for r in passages.remove_passages(docs).collect()}
+    assert [k for k, t in enumerate(texts) if len(cut[k].split()) < len(t) - 45] == [k for k in range(len(texts)) if k % 3]
+
+
 def test_pairs_that_are_not_compared_have_no_passage():
     rng = np.random.default_rng(7)
     kept = passed = 0
