@@ -30,6 +30,7 @@ STREAM = 1 << 20  # characters handled at once; a longer text is a stream of its
 WIDTH = 256  # characters in a chunk
 MAX_STATES = 150_000  # of the merge transducer; the cache starts anew beyond that
 MAX_PIECES = 400_000  # pieces whose count is remembered; likewise
+MAX_BORDERS = 400_000  # pairs of tokens of which it is remembered whether they stand; likewise
 
 # Symbols of the pre-tokenizer.  END: between texts; SPACE: a blank before a visible character;
 # LAST: other white space before one; WHITE: white space before white space or the end; QUOTE: an
@@ -172,6 +173,7 @@ class Tokenizer:
         del self._ids
         self._reset()
         self._pieces: dict[str, int] = {}
+        self._borders: dict[int, bool] = {}
 
     def _reset(self) -> None:
         self._states: dict[tuple, _State] = {}
@@ -185,6 +187,14 @@ class Tokenizer:
 
     def _stand(self, one: int, two: int) -> bool:
         """Whether two tokens side by side stay as they are: no merge over their border comes first."""
+        known = self._borders.get(one << 32 | two)
+        if known is None:
+            if len(self._borders) >= MAX_BORDERS:
+                self._borders.clear()
+            known = self._borders[one << 32 | two] = self._merges_later(one, two)
+        return known
+
+    def _merges_later(self, one: int, two: int) -> bool:
         pair = self._pair
         for x, until_x in self._right[one]:
             for y, until_y in self._left[two]:

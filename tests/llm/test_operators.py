@@ -486,6 +486,18 @@ def test_scan_of_chunks_is_exact():
         assert token_counts.piece_starts(symbols, width).tolist() == marks
 
 
+def test_borders_of_tokens_are_worked_out_once(tokens, vocabulary, monkeypatch):
+    path, count = tokens
+    texts = [" ".join(prose(random.Random(67), vocabulary, 300)) + "antidisestablishmentarianism" * 3]
+    machine, made = token_counts.Tokenizer(path), []
+    plain = machine._merges_later
+    monkeypatch.setattr(machine, "_merges_later", lambda one, two: made.append((one, two)) or plain(one, two))
+    assert machine.counts(texts).tolist() == count(texts)
+    assert made and len(made) == len(set(made))
+    monkeypatch.setattr(token_counts, "MAX_BORDERS", 2)
+    assert token_counts.Tokenizer(path).counts(texts).tolist() == count(texts)
+
+
 def test_token_counts(spark, odd, none, tokens):
     path, count = tokens
     rows = token_counts.token_counts(odd, path).collect()
