@@ -3,13 +3,14 @@
 import collections
 import random
 import re
+import time
 
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quarrytext.llm import components, decontamination, html_text, licenses, packing, passages, quality_rules, simhash, token_counts, toxicity, url_filter
+from quarrytext.llm import base, components, decontamination, html_text, licenses, packing, passages, quality_rules, simhash, token_counts, toxicity, url_filter
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ODD = [(1, None), (2, ""), (3, " \t\n"), (4, "word"), (5, "a b c d e"), (5, "a b c d e"), (None, "x y z w v"), (6, "é " * 30_000)]
@@ -260,6 +261,18 @@ def test_passages_with_few_seeds_are_cut(spark, vocabulary):
     assert all(cut[k] == " ".join(t) for k, t in enumerate(texts) if k not in planted)
 
 
+def test_written_tables_leave_no_shuffle_files(spark):
+    files = lambda: {n for n in map(str, spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n")) if "shuffle_" in n}
+    before = files()
+    table = base.written(spark.range(1000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    until = time.time() + 20
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - before
+    assert sorted(r["count"] for r in table.collect()) == [142] * 1 + [143] * 6
+    assert spark.conf.get(base._CLEANUP) == "false"
+
+
 def test_passages_beyond_words_that_equal_an_earlier_text(spark, vocabulary):
     rng = random.Random(61)
     texts, planted = [], set()
