@@ -4,6 +4,7 @@ import collections
 import random
 import re
 import time
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -261,6 +262,21 @@ def test_passages_with_few_seeds_are_cut(spark, vocabulary):
     assert all(cut[k] == " ".join(t) for k, t in enumerate(texts) if k not in planted)
 
 
+def test_passages_keep_what_their_result_reads_only(spark, vocabulary):
+    rng = random.Random(67)
+    run = prose(rng, vocabulary, 60)
+    docs = docs_of(spark, [(k, " ".join(prose(rng, vocabulary, 70) + run)) for k in range(3)])
+    folder = lambda: {p.name.split("-")[0] + p.name[-32:] for p in Path(base._folder(spark).removeprefix("file://")).glob("*")}
+    before = folder()
+    found = passages.find_passages(docs)
+    assert sorted(n[:-32] for n in folder() - before) == ["passages"] * 3
+    assert {(r["ref_doc_id"], r["doc_id"]) for r in found.collect()} == {(0, 1), (0, 2)}
+    before = folder()
+    cut = passages.remove_passages(docs)
+    assert [n[:-32] for n in folder() - before] == ["spans"]
+    assert sorted(len(r["text"].split()) for r in cut.collect()) == [70, 70, 130]
+
+
 def test_written_tables_leave_no_shuffle_files(spark):
     files = lambda: {n for n in map(str, spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n")) if "shuffle_" in n}
     before = files()
