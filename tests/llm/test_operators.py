@@ -332,6 +332,72 @@ def test_pairs_that_are_not_compared_have_no_passage():
     assert kept > 100 and passed > 100
 
 
+def _three_words_again(before, after, marks, known, every_link):
+    """By definition: whether the later of two rows has three words that the earlier has too, near enough behind the
+    first difference, on either side of a seed."""
+    reach, found = 50 + passages.REACH + 3 + 5, False
+    for a, b, flags in ((before[0][::-1][:reach], before[1][::-1][:reach], [m[::-1] for m in marks[0]]), (after[0][:reach], after[1][:reach], marks[1])):
+        run = next((t for t in range(max(len(a), len(b))) if a[t : t + 1] != b[t : t + 1]), None)
+        flags = [[(f[t] if t < len(f) else 0) | 3 * whole for t in range(len(w))] for f, w, whole in zip(flags, (a, b), known)]
+        if run is None:
+            continue
+        end = min(run + passages.REACH + 3, reach)
+        beside = any(not f & 1 for f in flags[0][run:end]) or any(not f & 2 for f in flags[1][run:end])
+        beside |= every_link and not all(known)
+        places = collections.defaultdict(list)
+        for o in range(len(b) - 2):
+            places[tuple(b[o : o + 3])].append(o)
+        for o in range(len(a) - 2):
+            for other in places[tuple(a[o : o + 3])]:
+                counts = any(f & 1 for f in flags[0][o : o + 3]) and any(f & 2 for f in flags[1][other : other + 3])
+                close = max(o, other) - run <= (passages.REACH if o == other else passages.DROP)
+                found |= counts and min(o, other) >= run and abs(o - other) <= passages.REACH and (close or beside)
+    return found
+
+
+@pytest.mark.parametrize("words", [3, 8, 60])
+def test_pairs_to_compare_are_those_of_the_definition(words):
+    rng, met, passed = np.random.default_rng(words), 0, 0
+    for turn in range(40):
+        base_, before, after, whole = rng.integers(0, words, 150), [], [], rng.random(10) < (1 if turn % 4 == 0 else 0.5)
+        for _ in range(10):
+            text = np.where(rng.random(150) < rng.choice([0.02, 0.1, 0.4]), rng.integers(0, words, 150), base_)
+            at = int(rng.integers(80, 150)) if turn % 2 else 75 + int(rng.integers(0, 30))
+            text = np.delete(text, at) if rng.random() < 0.5 else text
+            text[75:80] = base_[75:80]
+            before.append(text[int(rng.integers(0, 70)) : 75].astype("<u2"))
+            after.append(text[75 : int(rng.integers(90, 148))].astype("<u2"))
+        marks = [[rng.choice(np.array([0, 0, 0, 1, 2, 3], np.uint8), len(w)) for w in side] for side in (before, after)]
+        every_link = bool(turn % 3)
+        if every_link:
+            marks = [[np.where(m > 0, 3, 0).astype(np.uint8) for m in side] for side in marks]
+        given = (whole, whole, *([m.tobytes() for m in side] for side in marks), not every_link)
+        i, j = passages.promising(np.zeros(10, np.int64), [w.tobytes() for w in before], [w.tobytes() for w in after], 50, 1.0, 5, given)
+        pairs = set(zip(i.tolist(), j.tolist()))
+        for a in range(10):
+            for b in range(a + 1, 10):
+                sides = [[w[k].tolist() for k in (a, b)] for w in (before, after)]
+                want = _three_words_again(*sides, [[m[k].tolist() for k in (a, b)] for m in marks], [bool(whole[a]), bool(whole[b])], every_link)
+                alike = sum(x == y for side, back in zip(sides, (-1, 1)) for x, y in zip(*(w[::back] for w in side)))
+                assert not want or (a, b) in pairs
+                assert want or (a, b) not in pairs or alike >= 50  # words in the same places are the other reason
+                met, passed = met + want, passed + ((a, b) not in pairs)
+    assert met > 500 and passed > 20
+
+
+def test_near_copies_meet_a_few_times_for_each_seed(monkeypatch):
+    rng = np.random.default_rng(9)
+    base_, looked = rng.integers(0, 60_000, 200), []
+    rows = [np.where(rng.random(200) < 0.06, rng.integers(0, 60_000, 200), base_) for _ in range(80)]
+    for row in rows:
+        row[100:105] = base_[100:105]
+    for name in ("_apart", "_across"):
+        if hasattr(passages, name):
+            monkeypatch.setattr(passages, name, lambda *a, f=getattr(passages, name): ((looked.append(len(p)), (p, q))[1] for p, q in f(*a)))
+    i, j = passages.promising(np.zeros(80, np.int64), [r[:100].astype("<u2").tobytes() for r in rows], [r[100:].astype("<u2").tobytes() for r in rows], 50, 0.8, 5)
+    assert len(i) > 3000 and sum(looked) < 20 * len(i)
+
+
 def test_equal_runs_against_brute_force(spark, vocabulary):
     rng = random.Random(41)
     lines = [prose(rng, vocabulary, rng.choice([8, 15, 30, 45, 55, 70])) for _ in range(14)]
