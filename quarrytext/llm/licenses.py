@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SIZE = 1 << 18  # hashed features
+HALF = 1 << 10  # values of the low half of a hashed feature
 JOINED = 6  # most adjacent lines that are joined
 CONFIRM = 0.75  # of a template's word pairs that a paragraph must hold
 
@@ -136,19 +137,30 @@ def _numbers(values: list, kind: str) -> Column:
     return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>")
 
 
-def _spread(model: Model, values: list) -> list:
-    """A value per bucket; 0 for features that training never met."""
-    table = [0] * SIZE
-    for bucket, value in zip(model.features, values):
-        table[bucket] = value
-    return table
+def _packed(values: dict[int, int], bits: int) -> tuple[list[int], list[int]]:
+    """A small table of ``bucket << bits | value``, and by low half of the bucket where its high halves begin there."""
+    rows: dict[int, list[int]] = {}
+    for bucket in values:
+        rows.setdefault(bucket % HALF, []).append(bucket)
+    starts, taken = [0] * HALF, {}
+    for low, buckets in sorted(rows.items(), key=lambda r: (-len(r[1]), r[0])):
+        start = 0
+        while any(start + bucket // HALF in taken for bucket in buckets):
+            start += 1
+        starts[low] = start
+        taken |= {start + bucket // HALF: bucket << bits | values[bucket] for bucket in buckets}
+    return starts, [taken.get(at, -1) for at in range(max(starts) + SIZE // HALF)]
 
 
 def _known(model: Model, words: Column) -> tuple[Column, Column]:
     """The features that have any weight, by their number from 1: those of words, and those of pairs."""
-    used = [any(w[k] for w in model.weights) for k in range(len(model.features))]
-    place = _numbers(_spread(model, [k + 1 if use else 0 for k, use in enumerate(used)]), "int")
-    return tuple(F.filter(F.transform(part, lambda b: F.get(place, b)), lambda k: k > 0) for part in _buckets(words))
+    bits = len(model.features).bit_length()
+    places = {bucket: k + 1 for k, bucket in enumerate(model.features) if any(w[k] for w in model.weights)}
+    # Plans hold this table several times, so it has little more than the features that training met.
+    starts, table = (_numbers(v, kind) for v, kind in zip(_packed(places, bits), ("int", "bigint")))
+    entry = lambda b: F.get(table, F.shiftright(b, HALF.bit_length() - 1) + F.get(starts, b.bitwiseAND(F.lit(HALF - 1))))
+    number = lambda b: entry(b).bitwiseXOR(F.shiftleft(b.cast("bigint"), bits))
+    return tuple(F.transform(F.filter(F.transform(part, number), lambda k: (k > 0) & (k < 1 << bits)), lambda k: k.cast("int")) for part in _buckets(words))
 
 
 def _scored(frame: DataFrame, model: Model) -> DataFrame:

@@ -789,6 +789,15 @@ def test_licenses(spark, odd, none, license_model):
     assert licenses.scan(none, model=license_model).count() == 0
 
 
+def test_license_plan_holds_small_tables(spark, license_model):
+    docs = docs_of(spark, [(1, "licensed under the mit license")])
+    assert len(licenses.scan(docs, model=license_model)._jdf.queryExecution().optimizedPlan().toString()) < 500_000
+    used = {b: k + 1 for k, b in enumerate(license_model.features) if any(w[k] for w in license_model.weights)}
+    starts, table = licenses._packed(used, 13)
+    found = {b: table[b // licenses.HALF + starts[b % licenses.HALF]] ^ b << 13 for b in range(licenses.SIZE)}
+    assert {b: k for b, k in found.items() if 0 < k < 1 << 13} == used and len(license_model.features) < 1 << 13
+
+
 def test_wrapped_licenses(spark, license_model):
     isc = "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies."
     rows = [
