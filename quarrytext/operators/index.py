@@ -8,24 +8,61 @@ only; compaction writes one segment anew.  A version counts once its line is add
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
-from functools import cached_property
+from functools import cached_property, reduce
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrytext.functions.grams import gram_code, word_grams
-from quarrytext.sources.chunkers import CHUNK, CHUNKERS
+from quarrytext.functions.grams import distinct_grams, has_gram, text_of
+from quarrytext.sources.chunkers import CHUNK, CHUNKERS, exploded
 
 GROUP = "gid bigint, group_name string, chunk_count bigint, last_changed timestamp, deleted boolean, org boolean"
 POSTING = "gram int, gid bigint, chunk_no bigint"
+LISTS = "gram int, gids array<bigint>, chunk_nos array<bigint>"
 COUNT = "gram int, chunks bigint"
+SPREAD = 8  # partitions over which a gram's stored postings are dealt
 
 
 def postings_of(chunks: DataFrame) -> DataFrame:
     """``(gram, gid, chunk_no)``: one row per distinct gram of a chunk's text."""
-    grams = chunks.filter("text IS NOT NULL").select("gid", "chunk_no", F.explode(word_grams(F.col("text"))).alias("g"))
-    return grams.select(gram_code(F.col("g")).alias("gram"), "gid", "chunk_no")
+
+    def run(batches):
+        for batch in batches:
+            gid, chunk_no, text = batch.columns
+            for row, code in distinct_grams(text):
+                yield pa.RecordBatch.from_arrays([pa.array(code, pa.int32()), gid.take(pa.array(row)), chunk_no.take(pa.array(row))], ["gram", "gid", "chunk_no"])
+
+    return chunks.filter("text IS NOT NULL").select("gid", "chunk_no", "text").mapInArrow(run, POSTING)
+
+
+def lists_of(chunks: DataFrame) -> DataFrame:
+    """The rows of :func:`postings_of` as ``(gram, gids, chunk_nos)``, one row per gram and some thousand chunks."""
+
+    def run(batches):
+        for batch in batches:
+            gid, chunk_no, text = batch.columns
+            for row, code in distinct_grams(text):
+                order = np.argsort(code.astype(np.uint16), kind="stable")
+                code, row = code[order], pa.array(row[order])
+                edges = np.append(np.flatnonzero(np.append(True, code[1:] != code[:-1])) if len(code) else [], len(code)).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(edges, c.take(row)) for c in (gid, chunk_no)]
+                yield pa.RecordBatch.from_arrays([pa.array(code[edges[:-1]], pa.int32()), *lists], ["gram", "gids", "chunk_nos"])
+
+    return chunks.filter("text IS NOT NULL").select("gid", "chunk_no", "text").mapInArrow(run, LISTS)
+
+
+def _unpacked(lists: DataFrame) -> DataFrame:
+    return exploded(lists.select("gram", F.arrays_zip("gids", "chunk_nos").alias("at")), "at", "gram").select("gram", "at.gids", "at.chunk_nos").toDF("gram", "gid", "chunk_no")
+
+
+def held_of(chunks: DataFrame, codes: list[int]) -> DataFrame:
+    """The chunks with a text, and in ``held`` those of ``codes`` that :func:`postings_of` has for them: the other
+    grams are never made, and a chunk needs no join with its own postings."""
+    held = [F.when(has_gram(F.col("text"), text_of(c)), F.lit(c)) for c in codes]
+    return chunks.filter("text IS NOT NULL").withColumn("held", F.array_compact(F.array(*held)))
 
 
 class Stored(NamedTuple):
@@ -40,7 +77,8 @@ class Index:
     """``postings`` may be absent: searches then scan the chunks, with the same results.
 
     ``grams`` are the stored counts per gram, which say whether postings are worth reading; ``added`` are
-    chunks and postings that the segments in ``stored`` do not have.
+    chunks and postings that the segments in ``stored`` do not have.  ``parts`` are all chunks, with their postings
+    if these are stored or made by hand, else None: then they are worked out from the texts where they are read.
     """
 
     groups: DataFrame
@@ -49,6 +87,11 @@ class Index:
     grams: DataFrame | None = None
     stored: Stored | None = None
     added: tuple[tuple[DataFrame, DataFrame], ...] = ()
+    parts: tuple[tuple[DataFrame, DataFrame | None], ...] = ()
+
+    def __post_init__(self):
+        if not self.parts:
+            object.__setattr__(self, "parts", ((self.chunks, self.postings),))
 
     @staticmethod
     def empty(spark: SparkSession) -> "Index":
@@ -59,10 +102,10 @@ class Index:
         """From ``texts(gid, group_name, text[, last_changed])``, one group per row."""
         changed = F.col("last_changed") if "last_changed" in texts.columns else F.lit(None).cast("timestamp")
         chunks = CHUNKERS[chunker](texts.select("gid", "text"), **options)
-        counts = chunks.groupBy("gid").agg(F.count("*").alias("chunk_count"))
+        counts = COUNTERS.get(chunker, _counted)(texts.select("gid", "text"), chunks, **options)
         named = texts.select("gid", "group_name", changed.alias("last_changed"))
         groups = named.join(counts, "gid", "left").select("gid", "group_name", F.coalesce("chunk_count", F.lit(0).cast("bigint")).alias("chunk_count"), "last_changed", F.lit(False).alias("deleted"), F.lit(chunker == "org").alias("org"))
-        return Index(groups, chunks, postings_of(chunks) if postings else None)
+        return Index(groups, chunks, postings_of(chunks) if postings else None, parts=((chunks, None),))
 
     @property
     def live(self) -> DataFrame:
@@ -87,29 +130,62 @@ class Index:
         """With other groups; chunks and postings stay."""
         return replace(self, groups=groups)
 
-    def adding(self, groups: DataFrame, chunks: DataFrame, postings: DataFrame) -> "Index":
-        """With other groups, and more chunks and postings."""
+    def adding(self, groups: DataFrame, chunks: DataFrame, postings: DataFrame | None = None) -> "Index":
+        """With other groups, and more chunks and postings, which follow from the texts if they are not given."""
         own = self.with_postings()
-        return replace(own, groups=groups, chunks=own.chunks.unionByName(chunks), postings=own.postings.unionByName(postings), grams=None, added=(*own.added, (chunks, postings)))
+        made = postings_of(chunks) if postings is None else postings
+        return replace(own, groups=groups, chunks=own.chunks.unionByName(chunks), postings=own.postings.unionByName(made), grams=None, added=(*own.added, (chunks, made)), parts=(*own.parts, (chunks, postings)))
+
+    def narrowed(self, left) -> "Index":
+        """With ``left`` of the chunks, and their postings."""
+        parts = tuple((left(c), None if p is None else left(p)) for c, p in self.parts)
+        postings = None if self.postings is None else reduce(DataFrame.unionByName, [postings_of(c) if p is None else p for c, p in parts])
+        return Index(self.groups, reduce(DataFrame.unionByName, [c for c, _ in parts]), postings, parts=parts)
+
+    def scored(self, codes: list[int], least: float, every: bool = False) -> DataFrame:
+        """The chunks that hold ``least`` of the grams or more, and in ``n`` how many they hold; ``every`` says that the
+        texts decide, so that chunks without one are left out."""
+        out = []
+        for chunks, postings in self.parts:
+            if postings is None:
+                out.append(held_of(chunks, codes).withColumn("n", F.size("held").cast("bigint")).filter(F.col("n") >= least).drop("held"))
+            else:
+                held = postings.filter(F.col("gram").isin(codes)).groupBy("gid", "chunk_no").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+                out.append((chunks.filter("text IS NOT NULL") if every else chunks).join(held, ["gid", "chunk_no"]))
+        return reduce(DataFrame.unionByName, out)
+
+    def known(self, codes: list[int]) -> int:
+        """How many of the grams are in any chunk, of deleted groups too."""
+        met = []
+        for chunks, postings in self.parts:
+            if postings is None:
+                met.append(chunks.filter("text IS NOT NULL").agg(F.array_compact(F.array(*[F.when(F.bool_or(has_gram(F.col("text"), text_of(c))), F.lit(c)) for c in codes])).alias("met")))
+            else:
+                met.append(postings.filter(F.col("gram").isin(codes)).agg(F.collect_set("gram").alias("met")))
+        return len({c for row in reduce(DataFrame.unionByName, met).collect() for c in row["met"]})
 
     def save(self, path: str) -> int:
         """Write a new version: the groups, and what no segment at ``path`` has yet.
 
-        Postings are range-partitioned and sorted by gram (a frequent gram is cut by group), so that a
-        search reads few row groups.
+        Postings are kept in lists by gram, each of some thousand chunks, and sorted by gram; those of a gram are
+        dealt over a few partitions, so that a search reads few row groups.
         """
         spark = self.groups.sparkSession
         version = (current_version(spark, path) or 0) + 1
         known = self.stored is not None and self.stored.path == path
         segments = list(self.stored.segments) if known else []
         self.groups.write.mode("overwrite").parquet(f"{path}/v{version}/groups")
-        for k, (chunks, postings) in enumerate(self.added if known else [(self.chunks, self.postings)]):
+        for k, parts in enumerate([(p,) for p in self.parts[len(self.parts) - len(self.added) :]] if known else [self.parts]):
             at = f"v{version}/{k}"
-            chunks.write.mode("overwrite").parquet(f"{path}/{at}/chunks")
-            rows = postings if postings is not None else postings_of(spark.read.schema(CHUNK).parquet(f"{path}/{at}/chunks"))
-            rows.repartitionByRange("gram", "gid").sortWithinPartitions("gram", "gid", "chunk_no").write.mode("overwrite").parquet(f"{path}/{at}/postings")
-            listed = spark.read.schema(POSTING).parquet(f"{path}/{at}/postings")
-            listed.groupBy("gram").agg(F.count("*").alias("chunks")).coalesce(1).write.mode("overwrite").parquet(f"{path}/{at}/grams")
+            reduce(DataFrame.unionByName, [c for c, _ in parts]).write.mode("overwrite").parquet(f"{path}/{at}/chunks")
+            kept = spark.read.schema(CHUNK).parquet(f"{path}/{at}/chunks")
+            lists = [p.select("gram", F.array("gid").alias("gids"), F.array("chunk_no").alias("chunk_nos")) for _, p in parts if p is not None]
+            if any(p is None for _, p in parts):
+                lists.append(lists_of(kept if not lists else reduce(DataFrame.unionByName, [c for c, p in parts if p is None])))
+            dealt = reduce(DataFrame.unionByName, lists).repartition("gram", F.pmod(F.xxhash64("gids"), F.lit(SPREAD)))
+            dealt.sortWithinPartitions("gram").write.mode("overwrite").parquet(f"{path}/{at}/lists")
+            listed = spark.read.schema(LISTS).parquet(f"{path}/{at}/lists")
+            listed.groupBy("gram").agg(F.sum(F.size("gids")).alias("chunks")).coalesce(1).write.mode("overwrite").parquet(f"{path}/{at}/grams")
             segments.append(at)
         spark.createDataFrame([(version, segments)], _VERSION).coalesce(1).write.mode("append").parquet(f"{path}/versions")
         return version
@@ -122,7 +198,8 @@ class Index:
         segments = tuple(_versions(spark, path).filter(F.col("version") == version).first()["segments"])
         table = lambda name, schema: spark.read.schema(schema).parquet(*[f"{path}/{s}/{name}" for s in segments])
         groups = spark.read.schema(GROUP).parquet(f"{path}/v{version}/groups")
-        return Index(groups, table("chunks", CHUNK), table("postings", POSTING), table("grams", COUNT), Stored(path, segments))
+        chunks, postings = table("chunks", CHUNK), _unpacked(table("lists", LISTS))
+        return Index(groups, chunks, postings, table("grams", COUNT), Stored(path, segments), parts=((chunks, postings),))
 
     @staticmethod
     def open_or_create(spark: SparkSession, path: str) -> "Index":
@@ -132,6 +209,20 @@ class Index:
         return Index.load(spark, path)
 
 
+def _counted(texts: DataFrame, chunks: DataFrame, **_) -> DataFrame:
+    return chunks.groupBy("gid").agg(F.count("*").alias("chunk_count"))
+
+
+def _line_counts(texts: DataFrame, chunks: DataFrame, keep_tail: bool = False) -> DataFrame:
+    """As :func:`_counted`, from the texts: no line is made for it."""
+    ends = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
+    tail = F.when((F.col("text") != "") & ~F.endswith("text", F.lit("\n")), 1).otherwise(0) if keep_tail else F.lit(0)
+    return texts.filter("text IS NOT NULL").groupBy("gid").agg(F.sum((ends + tail).cast("bigint")).alias("chunk_count"))
+
+
+#: Chunkers whose chunks can be counted without making them.
+COUNTERS = {"lines": _line_counts}
+
 _VERSION = "version int, segments array<string>"
 
 

@@ -29,7 +29,7 @@ def put(index: Index, texts: DataFrame, chunker: str = "lines", **options) -> In
     replaced = new.filter("old IS NOT NULL").select(F.col("old").alias("gid"), F.lit(True).alias("__old"))
     marked = index.groups.join(replaced, "gid", "left").withColumn("deleted", F.col("deleted") | F.coalesce("__old", F.lit(False)))
     groups = written(marked.select(*index.groups.columns).unionByName(made.groups.select(*index.groups.columns)), "groups")
-    return index.adding(groups, made.chunks, made.postings)
+    return index.adding(groups, made.chunks)
 
 
 def add_chunk(index: Index, group: str, grams: list[str], data: bytes | None = None, form: str = "text") -> Index:
@@ -70,8 +70,7 @@ def delete(index: Index, condition: F.Column) -> Index:
 def compact(index: Index) -> Index:
     """Remove deleted groups, their chunks and postings; saving the result writes one segment anew."""
     gone = index.groups.filter("deleted").select("gid")
-    left = lambda t: t.join(gone, "gid", "left_anti")
-    return Index(index.groups.filter("NOT deleted"), left(index.chunks), None if index.postings is None else left(index.postings))
+    return index.narrowed(lambda t: t.join(gone, "gid", "left_anti")).regrouped(index.groups.filter("NOT deleted"))
 
 
 def update_plan(groups: DataFrame, states: DataFrame) -> DataFrame:
@@ -106,7 +105,10 @@ def maintain(index: Index, texts: DataFrame) -> Index:
 def rebuild_postings(index: Index) -> Index:
     """With postings worked out anew from the texts; those of custom chunks are kept."""
     made = postings_of(index.chunks)
+    parts = [(index.chunks.filter("text IS NOT NULL"), None)]
     if index.postings is not None:
-        custom = index.chunks.filter("text IS NULL").select("gid", "chunk_no")
-        made = made.unionByName(index.postings.join(custom, ["gid", "chunk_no"], "left_semi").select("gram", "gid", "chunk_no"))
-    return Index(index.groups, index.chunks, made)
+        own = index.chunks.filter("text IS NULL")
+        given = index.postings.join(own.select("gid", "chunk_no"), ["gid", "chunk_no"], "left_semi").select("gram", "gid", "chunk_no")
+        made = made.unionByName(given)
+        parts.append((own, given))
+    return Index(index.groups, index.chunks, made, parts=tuple(parts))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -43,18 +45,6 @@ def match_offset(text: Column, arg: str, partial: bool = False) -> Column:
     return F.when(text.rlike(pattern), F.length(F.regexp_extract(text, pattern, 1)).cast("bigint"))
 
 
-def _codes(codes: list[int]) -> Column:
-    return F.array(*[F.lit(c) for c in codes])
-
-
-def _holding(index: Index, codes: list[int]) -> DataFrame:
-    """``(gid, chunk_no, n)``: chunks with any of the grams, and how many of them."""
-    if index.postings is not None:
-        return index.postings.filter(F.col("gram").isin(codes)).groupBy("gid", "chunk_no").agg(F.count("*").alias("n"))
-    own = F.array_intersect(G.word_grams(F.col("text")), F.array(*[F.lit(G.text_of(c)) for c in codes]))
-    return index.chunks.filter("text IS NOT NULL").select("gid", "chunk_no", F.size(own).cast("bigint").alias("n")).filter("n > 0")
-
-
 def _named(index: Index, chunks: DataFrame) -> DataFrame:
     """With the names of live groups; chunks of deleted groups go."""
     return chunks.join(index.live.select("gid", "group_name"), "gid")
@@ -86,10 +76,11 @@ def _pruned(index: Index, chunks: DataFrame, codes: list[int]) -> DataFrame:
 
     With stored counts, only the rarest gram's postings are read: few name the groups in the scan's
     filter, more are broadcast, very many are joined by a shuffle, and a common gram prunes nothing, for then a
-    scan is cheaper.  Without counts all grams' postings are intersected.
+    scan is cheaper.  Without counts all grams' postings are intersected; those not stored yet follow from the same
+    chunk's text, so they are not joined.
     """
     if index.counts is None:
-        return chunks.join(_holding(index, codes).filter(F.col("n") == len(codes)), ["gid", "chunk_no"], "left_semi")
+        return index.scored(codes, len(codes), True).drop("n")
     rare = min(codes, key=lambda c: (index.counts.get(c, 0), c))
     n = index.counts.get(rare, 0)
     if n > COMMON * index.size:
@@ -161,7 +152,7 @@ def candidates(index: Index, args: list[str] | None = None, grams: list[int] | N
     codes = sorted(set(grams)) if grams is not None else [G.code_of(g) for g in G.query_grams(_check(args or []), partial)]
     chunks = index.chunks
     if codes:
-        chunks = chunks.join(_holding(index, codes).filter(F.col("n") == len(codes)).select("gid", "chunk_no"), ["gid", "chunk_no"], "left_semi")
+        chunks = index.scored(codes, len(codes)).drop("n")
     else:
         chunks = chunks.filter("false")
     if pattern is not None:
@@ -178,13 +169,11 @@ def fuzzy(index: Index, args: list[str], percent: float, pattern: str | None = N
     """
     codes = [G.code_of(g) for g in G.query_grams(_check(args), True)]
     if codes and unknown_grams == "empty":
-        index = index.with_postings()
-        known = index.postings.filter(F.col("gram").isin(codes)).select("gram").distinct().count()
-        codes = codes if known == len(codes) else []
+        codes = codes if index.known(codes) == len(codes) else []
     if not codes:
         scored = index.chunks.filter("false").withColumn("n", F.lit(0).cast("bigint"))
     else:
-        scored = index.chunks.join(_holding(index, codes).filter(F.col("n") / F.lit(float(len(codes))) >= percent / 100), ["gid", "chunk_no"])
+        scored = index.scored(codes, next(n for n in range(1, len(codes) + 2) if n > len(codes) or n / float(len(codes)) >= percent / 100))
     if pattern is not None:
         scored = scored.filter(F.col("text").rlike(pattern))
     found = scored.select("gid", "chunk_no", "line", F.col("rune_off").alias("start"), F.lit(0).cast("bigint").alias("offset"), (F.col("n") / F.lit(float(max(len(codes), 1))) * 100).alias("percent"), "text")
@@ -201,6 +190,10 @@ def file_search(index: Index, args: list[str], partial: bool = False, use_index:
     chunks = index.chunks.filter("text IS NOT NULL")
     if not G.query_grams(args, partial):
         chunks = chunks.filter("false")
+    elif use_index and index.postings is not None and index.counts is None and any(p is None for _, p in index.parts):
+        grams = [G.query_grams([a], partial) for a in args]
+        if all(grams):  # a chunk's own postings say whether it may hold a term
+            chunks = chunks.filter(reduce(or_, [reduce(and_, [G.has_gram(F.col("text"), g) for g in own]) for own in grams]))
     elif use_index and index.postings is not None and (held := _term_chunks(index, args, partial)):
         chunks = _joined(chunks, *held)
     places = F.array(*[match_offset(F.col("text"), a, partial) for a in args])

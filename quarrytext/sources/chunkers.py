@@ -8,11 +8,19 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrytext.functions.grams import word_grams
+from quarrytext.functions.grams import gram_count
 
 CHUNK = "gid bigint, chunk_no bigint, line bigint, rune_off bigint, rune_len bigint, byte_off bigint, byte_len bigint, elem_type string, gram_count int, text string, data binary"
 
 
+def exploded(df: DataFrame, column: str, *others: str) -> DataFrame:
+    """One row per element of an array without nulls.
+
+    Not ``explode``, for which the optimiser adds a filter on the array's size that works the array out once more.
+    """
+    return df.select(*others, F.explode_outer(column).alias(column)).filter(F.col(column).isNotNull())
+
+
 _BLOCK = 64  # lines whose lengths are summed at once
 
 
@@ -45,7 +53,7 @@ def line_chunks(groups: DataFrame, keep_tail: bool = False) -> DataFrame:
     first = lambda i: F.when(F.size("starts") > 0, F.get("starts", F.floor(i / _BLOCK).cast("int")))
     before = lambda i: F.aggregate(F.slice("sizes", i - F.pmod(i, F.lit(_BLOCK)) + 1, F.pmod(i, F.lit(_BLOCK))), first(i), add)
     line = lambda p, i: F.struct((i + 1).cast("bigint").alias("line"), before(i).alias("at"), F.get("sizes", i).alias("size"), p.alias("text"))
-    lines = summed.select("gid", F.explode(F.slice(F.transform(parts, line), 1, F.greatest(kept, F.lit(0)))).alias("l"))
+    lines = exploded(summed.select("gid", F.slice(F.transform(parts, line), 1, F.greatest(kept, F.lit(0))).alias("l")), "l", "gid")
     return lines.select(
         "gid",
         F.col("l.line").alias("chunk_no"),
@@ -55,7 +63,7 @@ def line_chunks(groups: DataFrame, keep_tail: bool = False) -> DataFrame:
         F.col("l.at.bytes").alias("byte_off"),
         F.col("l.size.bytes").alias("byte_len"),
         F.lit("LINE").alias("elem_type"),
-        F.size(word_grams(F.col("l.text"))).alias("gram_count"),
+        gram_count("l.text").alias("gram_count"),
         "l.text",
         F.lit(None).cast("binary").alias("data"),
     )
@@ -194,7 +202,7 @@ def org_chunks(groups: DataFrame, strict: bool = False) -> DataFrame:
             yield pd.DataFrame(rows, columns=["gid", "chunk_no", "line", "rune_off", "rune_len", "byte_off", "byte_len", "elem_type", "text"])
 
     made = groups.select("gid", "text").mapInPandas(run, "gid bigint, chunk_no bigint, line bigint, rune_off bigint, rune_len bigint, byte_off bigint, byte_len bigint, elem_type string, text string")
-    counted = made.withColumn("gram_count", F.size(word_grams(F.col("text")))).withColumn("data", F.lit(None).cast("binary"))
+    counted = made.withColumn("gram_count", gram_count("text")).withColumn("data", F.lit(None).cast("binary"))
     return counted.filter("gram_count > 0").select("gid", "chunk_no", "line", "rune_off", "rune_len", "byte_off", "byte_len", "elem_type", "gram_count", "text", "data")
 
 
