@@ -15,7 +15,7 @@ from quarrytext.functions import grams as G
 from quarrytext.functions import output, sql
 from quarrytext.operators import maintain, search, stats
 from quarrytext.operators.index import Index
-from quarrytext.sources.chunkers import line_chunks, line_kind, org_chunks
+from quarrytext.sources.chunkers import exploded, line_chunks, line_kind, org_chunks
 from quarrytext.sources.tables import shared_folder, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,7 +111,7 @@ def partial_grams(spark, sf_dir):
 
 @query("gram_codes", _GRAMS + f", d AS (SELECT DISTINCT gram FROM postings)\nSELECT gram, {_code_sql('gram')} AS code, lpad(lower(hex(CAST({_code_sql('gram')} AS BIGINT))), 4, '0') AS hex, gram AS back FROM d")
 def gram_codes(spark, sf_dir):
-    found = line_chunks(documents(spark, sf_dir)).select(F.explode(G.word_grams(F.col("text"))).alias("gram")).distinct()
+    found = exploded(line_chunks(documents(spark, sf_dir)).select(G.word_grams(F.col("text")).alias("gram")), "gram").distinct()
     coded = found.select("gram", G.gram_code(F.col("gram")).alias("code"))
     return coded.select("gram", "code", G.gram_hex(F.col("code")).alias("hex"), G.gram_text(F.col("code")).alias("back"))
 
@@ -329,7 +329,7 @@ def sql_search(spark, sf_dir):
 @query("sql_grams", _GRAMS + f"\nSELECT doc_id AS gid, line_no AS line, {_code_sql('gram')} AS code, gram FROM postings")
 def sql_grams(spark, sf_dir):
     sql.register(spark, index(spark, sf_dir))
-    return spark.sql("SELECT gid, line, gram_code(gram) AS code, gram_text(gram_code(gram)) AS gram FROM (SELECT gid, line, explode(grams) AS gram FROM (SELECT gid, line, word_grams(text) AS grams FROM quarry_chunks))")
+    return spark.sql("SELECT gid, line, gram_code(gram) AS code, gram_text(gram_code(gram)) AS gram FROM (SELECT gid, line, explode_outer(grams) AS gram FROM (SELECT gid, line, word_grams(text) AS grams FROM quarry_chunks)) WHERE gram IS NOT NULL")
 
 
 @query("file_list", "SELECT CAST(doc_id AS VARCHAR) AS group_name, lower(CAST(doc_id AS VARCHAR)) AS folded FROM documents WHERE doc_id % 10 <> 0")
